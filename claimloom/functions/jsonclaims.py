@@ -22,6 +22,13 @@ def closed(x: Column) -> Column:
     return F.when(missing > 0, F.concat(x, F.repeat(F.lit("}"), missing))).otherwise(x)
 
 
+def balanced(x: Column) -> Column:
+    """True if every bracket outside of strings is closed and nothing follows the value; parsers stop at its end."""
+    bare = F.regexp_replace(x, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
+    n = lambda c: F.length(F.regexp_replace(bare, f"[^\\{c}]", ""))
+    return (n("{") == n("}")) & (n("[") == n("]")) & ~bare.rlike(r"[}\]]\s*[^\s,}\]]")
+
+
 def parse_answers(df: DataFrame, raw: str, required: tuple[str, ...] = REQUIRED, bare: bool = False) -> DataFrame:
     """``df`` with ``status`` (ok, empty, invalid_json, invalid_schema), ``claims``, ``n_claims`` and ``n_errors``.
 
@@ -31,7 +38,7 @@ def parse_answers(df: DataFrame, raw: str, required: tuple[str, ...] = REQUIRED,
     object without ``claims`` is itself a claim.
     """
     text = without_fence(F.col(raw))
-    whole = lambda x: F.when(x.rlike(r"(?s)\A\s*(\{.*\}|\[.*\])\s*\z"), F.try_parse_json(x))
+    whole = lambda x: F.when(balanced(x), F.try_parse_json(x))
     rows = df.withColumn("_t", text).withColumn("_v", F.coalesce(whole(F.col("_t")), whole(closed(F.col("_t")))))
     kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
     rows = rows.withColumns({"_kind": F.schema_of_variant("_v"), "_claims": kind("$.claims")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "texts", "joins", "aggregates", "search")
+MODULES = ("problems", "texts", "joins", "aggregates", "search", "streams")
 
 
 def _all(attribute: str) -> dict:
