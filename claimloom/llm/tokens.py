@@ -39,9 +39,9 @@ def tokenizer(path: str):
 def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     """``df`` with the column ``text`` replaced by ``n_tokens`` (BIGINT), the exact number of tokens.
 
-    A NULL text counts 0, as does an empty one. Special tokens' strings are ordinary text.
+    A NULL text counts 0, as does an empty one; a column of that name is replaced. Special tokens' strings are ordinary text.
     """
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, "n_tokens")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
@@ -49,7 +49,7 @@ def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
             n = pa.array([len(encode(t)) if t else 0 for t in b.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), n], [*kept, "n_tokens"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text), "n_tokens bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), "n_tokens bigint"])
     return df.select(*kept, text).mapInArrow(count, schema)
 
 
