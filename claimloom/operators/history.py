@@ -72,9 +72,10 @@ def revision_states(revisions: DataFrame) -> DataFrame:
     """What each instant of change left in force: ``claim_id, us, before, after`` (content structs).
 
     Redelivered revisions count once. Revisions of one claim at one instant form a path from content
-    to content; its ends are the contents that more revisions leave than reach, and the reverse. If
-    it has no ends (it came back to where it began), the least content stands for both. Left out are
-    rows without claim, without a readable instant, or whose new content is no readable JSON object.
+    to content; its ends are the contents that more revisions leave than reach, and the reverse. A
+    path without ends came back to where it began: that instant changes nothing and is left out, unless
+    its revisions hold a single content, which then is in force. Left out are also rows without claim,
+    without a readable instant, or whose new content is no readable JSON object.
     """
     schema = ", ".join(f"{f} STRING" for f in FIELDS) + ", _bad STRING"
     read = lambda c: F.from_json(c, schema, {"columnNameOfCorruptRecord": "_bad"})
@@ -90,7 +91,7 @@ def revision_states(revisions: DataFrame) -> DataFrame:
     nodes = ends.groupBy("claim_id", "us", F.col("e.k").alias("k")).agg(F.sum("e.d").alias("d"), F.any_value("e.c").alias("c"))
     first, last = F.struct("k", "c"), F.struct(-F.col("d"), F.col("k"))
     by = F.struct("d", "k")
-    return nodes.groupBy("claim_id", "us").agg(F.min_by(first, by).alias("before"), F.min_by(first, last).alias("after"))
+    return nodes.groupBy("claim_id", "us").agg(F.min_by(first, by).alias("before"), F.min_by(first, last).alias("after"), F.max("d").alias("d"), F.count("*").alias("n")).where("d > 0 OR n = 1").drop("d", "n")
 
 
 def claim_versions(revisions: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ _VERSIONS = f"""WITH e AS (SELECT DISTINCT revision_id, claim_id, epoch_us(CAST(
   (SELECT [{_FIELDS}] FROM (SELECT CAST(previous_content_json AS JSON) AS x)) AS p, (SELECT [{_FIELDS}] FROM (SELECT CAST(new_content_json AS JSON) AS x)) AS n FROM claim_revisions),
 v AS (SELECT claim_id, us, p AS k, -1 AS d FROM e UNION ALL SELECT claim_id, us, n, 1 FROM e),
 g AS (SELECT claim_id, us, k, sum(d) AS d FROM v GROUP BY ALL),
-t AS (SELECT claim_id, us, arg_min(k, d) AS before, arg_max(k, d) AS after FROM g GROUP BY ALL),
+t AS (SELECT claim_id, us, arg_min(k, d) AS before, arg_max(k, d) AS after FROM g GROUP BY ALL HAVING max(d) > 0 OR count(*) = 1),
 w AS (SELECT claim_id, us, after, coalesce(lag(after) OVER (PARTITION BY claim_id ORDER BY us), before) AS was FROM t) """
 
 SQL = {

@@ -55,11 +55,17 @@ def test_one_instant_is_one_change(spark):
         ("6", None, content("a"), content("b"), at(4), None),
         ("7", "C", content("a"), content("b"), "no time", None),
         ("8", "D", content("a"), content("a"), at(4), None),
+        ("9", "C", content("b"), content("a"), at(5), None),  # a -> b -> a: back where it was
+        ("10", "C", content("a"), content("b"), at(5), None),
+        ("11", "E", content("b"), content("a"), at(1), None),  # the same before anything else is known
+        ("12", "E", content("a"), content("b"), at(1), None),
+        ("13", "E", content("b"), content("n"), at(2), None),
     ]
     got = history.claim_history(spark.createDataFrame(rows, SCHEMA)).collect()
     c = sorted((r.valid_from_us or 0, r.claim_type) for r in got if r.claim_id == "C")
     assert [t for _, t in c] == ["a", "b", "a"]
     assert [(r.valid_from_us, r.claim_type) for r in got if r.claim_id == "D"] == [(None, "a")]
+    assert [t for _, t in sorted((r.valid_from_us or 0, r.claim_type) for r in got if r.claim_id == "E")] == ["b", "n"]
 
 
 def test_empty(spark):
