@@ -68,3 +68,8 @@ def bm25(index: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
         matched = matched & (x > 0)
     found = counted.where(matched).select("record_id", score.alias("score"))
     return found.orderBy("score", "record_id").limit(limit) if limit else found
+
+
+def reindexed(posts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Postings after the records of ``changed`` (an index) were taken out and put in anew; doing it twice changes nothing."""
+    return posts.join(changed.select("record_id").distinct(), "record_id", "left_anti").select("term", "record_id", "tf").unionByName(postings(changed))
