@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def once(df: DataFrame, record_id: str) -> DataFrame:
-    """One row per record, the first received; rows without an id are left out.
+    """One row per record, the first received; rows without an id are left out, those without a time are last.
 
-    Partial aggregation keeps a record that was delivered very often from being one large group.
+    Columns are aggregated one by one, so a query moves only those that it uses, and partial aggregation
+    keeps a record that was delivered very often from being one large group. Deliveries of one record
+    at one time are taken to be equal, as those of a delivery log are.
     """
-    rest = [c for c in df.columns if c != record_id]
-    rows = df.where(F.col(record_id).isNotNull()).groupBy(record_id).agg(F.min_by(F.struct(*rest), "received_at").alias("r"))
-    # min_by skips rows without a time of receipt; a record with none at all keeps NULL fields but its id.
-    return rows.select(record_id, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*df.columns)
+    at = F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp"))
+    rest = [c for c in df.columns if c not in (record_id, "received_at")]
+    rows = df.where(F.col(record_id).isNotNull()).groupBy(record_id)
+    return rows.agg(*(F.min_by(c, at).alias(c) for c in rest), F.min("received_at").alias("received_at")).select(*df.columns)
 
 
 def new_only(incoming: DataFrame, present: DataFrame, record_id: str) -> DataFrame:

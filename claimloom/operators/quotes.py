@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import written
+from claimloom.functions.parallel import spread
 from claimloom.functions.text import normalise, words
 
 #: Fixed value: the share of words above which a quote without a match is ambiguous, and the fewest words for it.
@@ -64,7 +66,8 @@ def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
     """
     c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").where("nq <> ''").withColumn("w", F.split("nq", " "))
     inner = c.withColumn("inner", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
-    s = with_normal(sections.select("source_id", "section_id", "sequence_number", "text"), "text", "nt")
+    # Texts are normalised once and kept, as they are read for their words and for the comparison.
+    s = written(with_normal(spread(sections.select("source_id", "section_id", "sequence_number", "text")), "text", "nt"), "normal")
     listed = s.select("source_id", "section_id", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
     often = listed.groupBy("source_id", "word").agg(F.count("*").alias("n"))
     rarest = (

@@ -24,17 +24,17 @@ TEXT_CHARS, LOW_SHARE = 50, 0.3
 
 def heading_type(line: Column) -> Column:
     """The type of section that a stripped line opens, else NULL."""
-    flat = F.regexp_replace(F.lower(line), f"{WS}*(&|{WS}and{WS}){WS}*", " and ")
-    out = None
-    for kind, names in HEADINGS.items():
-        is_one = flat.isin(*names)
-        out = F.when(is_one, kind) if out is None else out.when(is_one, kind)
-    return out
+    kinds = F.create_map(*(F.lit(x) for kind, names in HEADINGS.items() for n in names for x in (n, kind)))
+    return F.try_element_at(kinds, F.regexp_replace(F.lower(line), f"{WS}*(&|{WS}and{WS}){WS}*", " and "))
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
-    """``source_id, page, n_chars, opens``: the last heading line of each page as ``struct(kind, heading)``, or NULL."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(heading_type(strip(x)).alias("kind"), strip(x).alias("heading")))
+    """``source_id, page, n_chars, opens``: the last heading line of each page as ``struct(kind, heading)``, or NULL.
+
+    Only lines short enough to be a heading are looked at.
+    """
+    short = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) < 80), strip)
+    lines = F.transform(short, lambda x: F.struct(heading_type(x).alias("kind"), x.alias("heading")))
     last = F.try_element_at(F.filter(lines, lambda x: x["kind"].isNotNull()), F.lit(-1))
     return pages.select("source_id", "page", F.length("text").alias("n_chars"), last.alias("opens"))
 

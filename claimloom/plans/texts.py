@@ -126,12 +126,12 @@ def txt4_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt5_provider(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-5, ARR-2: which raw claims a deterministic provider would emit for a request's text (70 % of the longer words occur)."""
-    words = lambda x: F.array_distinct(F.filter(T.words(F.lower(x)), lambda w: F.length(w) > 3))
-    asked = once(table(spark, d, "extraction_requests"), "request_id").select(F.col("request_id").alias("id"), words("section_text").alias("words"))
-    known = _claims(spark, d).select(F.col("claim_id").alias("id"), words("source_quote").alias("words")).where(F.size("words") >= 2)
+    """TXT-5, ARR-2: claims that a deterministic provider would emit for a request of their source (70 % of the longer words occur), with the first such request."""
+    of_source = lambda x: F.transform(F.array_distinct(F.filter(T.words(F.lower(x)), lambda w: F.length(w) > 3)), lambda w: F.concat("source_id", F.lit(" "), w))
+    asked = once(table(spark, d, "extraction_requests"), "request_id").where("source_id IS NOT NULL").select(F.col("request_id").alias("id"), of_source("section_text").alias("words"))
+    known = _claims(spark, d).where("source_id IS NOT NULL").select(F.col("claim_id").alias("id"), of_source("source_quote").alias("words")).where(F.size("words") >= 2)
     found = containment.containing(known, asked, 0.7)
-    return found.select(F.col("target_id").alias("claim_id"), F.col("candidate_id").alias("request_id"))
+    return found.groupBy(F.col("target_id").alias("claim_id")).agg(F.min("candidate_id").alias("request_id"))
 
 
 def txt8_quote_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -226,9 +226,9 @@ SQL = {
         SELECT g.source_id, CASE WHEN island = 0 THEN 'body' ELSE section_type END AS section_type, h.heading, page_start, page_end, n_pages, n_chars FROM g LEFT JOIN h ON h.source_id = g.source_id AND h.page = g.page_start AND island > 0
         WHERE island > 0 OR NOT EXISTS (SELECT 1 FROM h x WHERE x.source_id = g.source_id)""",
     "txt3_numbered": f"SELECT section_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(page_start, 2147483647), section_id) AS n FROM {_S} WHERE source_id IS NOT NULL",
-    "txt5_provider": f"""WITH k AS (SELECT claim_id, list_distinct(list_filter({_words('lower(source_quote)')}, lambda w: length(w) > 3)) AS ws FROM {_C}),
-        r AS (SELECT request_id, list_distinct(list_filter({_words('lower(section_text)')}, lambda w: length(w) > 3)) AS rs FROM {Q.once('extraction_requests', 'request_id')})
-        SELECT claim_id, request_id FROM k, r WHERE len(ws) >= 2 AND len(list_intersect(ws, rs)) >= ceil(len(ws) * 0.7 - 1e-9)""",
+    "txt5_provider": f"""WITH k AS (SELECT claim_id, source_id, list_distinct(list_filter({_words('lower(source_quote)')}, lambda w: length(w) > 3)) AS ws FROM {_C}),
+        r AS (SELECT request_id, source_id, list_distinct(list_filter({_words('lower(section_text)')}, lambda w: length(w) > 3)) AS rs FROM {Q.once('extraction_requests', 'request_id')})
+        SELECT claim_id, min(request_id) AS request_id FROM k JOIN r USING (source_id) WHERE len(ws) >= 2 AND len(list_intersect(ws, rs)) >= ceil(len(ws) * 0.7 - 1e-9) GROUP BY 1""",
     "txt8_quote_dedup": f"SELECT source_id, {Q.strip('source_quote')} AS quote, min(claim_id) AS claim_id, count(*) AS n_claims FROM {_C} WHERE {Q.strip('source_quote')} <> '' GROUP BY 1, 2",
     "txt9_failures": f"WITH {_BLOCKS}, r AS (SELECT source_id, count(*) AS n_runs, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM {_R} WHERE source_id IS NOT NULL GROUP BY 1) SELECT source_id, n_runs, n_failed, (SELECT count(*) FROM b WHERE b.source_id = r.source_id) AS n_blocks FROM r",
     "agg7_page_quality": f"SELECT source_id, count(*) AS n_pages, count(*) FILTER (WHERE length(text) > 50) AS n_with_text, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(floor(sum(length(text)) * 10 / count(*)) AS BIGINT) AS mean_chars_x10, count(*) FILTER (WHERE length(text) > 50) / count(*) < 0.3 AS is_low_text FROM {_S} GROUP BY source_id",

@@ -127,7 +127,7 @@ def test_deliveries(spark):
 
     rows = [("1", "a", datetime(2025, 1, 2)), ("1", "a", datetime(2025, 1, 1)), (None, "b", datetime(2025, 1, 1)), ("2", "c", None)]
     got = {r.id: r for r in once(spark.createDataFrame(rows, "id string, v string, received_at timestamp"), "id").collect()}
-    assert set(got) == {"1", "2"} and got["1"].received_at == datetime(2025, 1, 1)
+    assert set(got) == {"1", "2"} and got["2"].v == "c" and got["1"].received_at == datetime(2025, 1, 1)
     docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, None), (4, None)], "id bigint, t string")
     assert {(r.record_id, r.canonical_id, r.is_new) for r in by_content(docs, "id", "t").collect()} == {(1, 1, True), (3, 1, False), (2, 2, True), (4, 4, True)}
 
