@@ -8,7 +8,7 @@ Anchors seen once are dropped by a merged Bloom filter. Seeds whose whole run of
 documents are shared entirely (a partial aggregation, whatever the number of copies). The others lie at
 the ends of shared spans: documents are joined on their anchors, and the matches extended both ways by
 comparing the stretches at each offset from the anchor. No pairs of documents are made. Anchors with
-very many open seeds are compared by one more aggregation instead of in one task.
+very many different runs are compared by one more aggregation instead of in one task.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
+from claimloom.functions.parallel import spread
 from claimloom.llm.dupes import filter_words, possible_repeats
 
 SPAN, ANCHOR = 200, 100
-#: Code points handled at once in a task, and open seeds of an anchor compared in one task.
-SLICE, MOST_OPEN = 1 << 19, 1000
+#: Code points handled at once in a task, different runs of an anchor compared in one task, and seeds compared at once.
+SLICE, MOST_OPEN, TOGETHER = 1 << 19, 1000, 20_000
 _U = np.uint64
 #: Odd multipliers of a 64-bit mixer and the base of the rolling hash, with its inverse modulo 2^64.
 _M1, _M2, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
@@ -162,13 +164,30 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All open seeds of some anchors in, the runs of their stretches that another document has out."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
+    """Seeds in order of their anchors in, the runs of their stretches that another document has out.
+
+    Some whole anchors are compared at a time, so memory does not grow with the partition.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= TOGETHER:
+            t = pa.Table.from_batches(held).combine_chunks()
+            h = t.column("h").to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
+            if whole:
+                yield from _compared(t.slice(0, whole))
+                held, rows = t.slice(whole).to_batches(), len(h) - whole
+    if rows:
+        yield from _compared(pa.Table.from_batches(held).combine_chunks())
+
+
+def _compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    t = t.combine_chunks()
     lists = t.column("stretches").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     nth = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
     get = lambda c: t.column(c).to_numpy()
@@ -206,22 +225,22 @@ def shared_spans(df: DataFrame, record_id: str, text: str) -> DataFrame:
     Ids are BIGINT and unique. Short, empty and NULL texts have no spans; repeats inside one record only
     do not count. Equality is that of a 128-bit hash (anchor and run, or anchor, offset and stretch).
     """
-    df = df.where(F.col(record_id).isNotNull())
+    df = spread(df.where(F.col(record_id).isNotNull()).select(record_id, text))
     n = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     rows = possible_repeats(seeds(df, record_id, text), filter_words(n // 40)).where("repeats").drop("repeats")
     rows = written(rows, "seeds")
     runs = rows.groupBy("h", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "n", "at")).alias("one"))
     runs = written(runs, "runs")
-    anchors = runs.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count_if(F.col("least") == F.col("most")).alias("n_open")).where("a < b").select("h", "n_open")
+    anchors = runs.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count_if(F.col("least") == F.col("most")).alias("n_open"), F.count("*").alias("n_runs")).where("a < b").select("h", "n_open", "n_runs")
     runs = runs.join(anchors, "h")
     entire = rows.join(runs.where("least < most").select("h", "run"), ["h", "run"]).select("doc", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).cast("bigint").alias("b"))
-    hot = (F.col("n_open") > MOST_OPEN).alias("hot")
-    ends = rows.join(runs.where("least = most").select("h", "run", "least", "most", "n_open"), ["h", "run"]).select("doc", "start", "n", "at", "h", "least", "most", hot)
+    hot = (F.col("n_runs") > MOST_OPEN).alias("hot")
+    ends = rows.join(runs.where("least = most").select("h", "run", "least", "most", "n_runs"), ["h", "run"]).select("doc", "start", "n", "at", "h", "least", "most", hot)
     others = runs.where("least < most AND n_open > 0").select("one.doc", "one.start", "one.n", "one.at", "h", "least", "most", hot)
     wanted = ends.unionByName(others).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "at", "h", "least", "most", "hot")).alias("wanted"))
     texts = wanted.join(df.select(F.col(record_id).alias("doc"), F.col(text).alias("text")), "doc")
     compared = written(texts.mapInArrow(_stretches, "doc bigint, start int, at short, h bigint, least bigint, most bigint, hot boolean, stretches array<bigint>"), "ends")
-    extended = compared.where("NOT hot").repartition("h").mapInArrow(_compare, "doc bigint, a bigint, b bigint")
+    extended = compared.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc bigint, a bigint, b bigint")
     each = compared.where("hot").select("doc", "start", "at", "h", "least", "most", F.posexplode("stretches").alias("i", "stretch")).withColumn("distance", F.col("at") - F.col("i"))
     keys = ["h", "distance", "stretch"]
     common = each.groupBy(*keys).agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x < y").select(*keys)

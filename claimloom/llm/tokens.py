@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
+from claimloom.functions.parallel import spread
 from claimloom.functions.text import strip
 
 #: The tokenizer used where none is named: ranks of a public byte-level BPE for many languages.
@@ -50,7 +51,7 @@ def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), n], [*kept, "n_tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), "n_tokens bigint"])
-    return df.select(*kept, text).mapInArrow(count, schema)
+    return spread(df.select(*kept, text)).mapInArrow(count, schema)
 
 
 def language(x: Column) -> Column:

@@ -75,3 +75,20 @@ def test_shares(spark):
     df = spark.createDataFrame([(1, t), (2, "zz" + t), (3, None), (4, "")], "id bigint, text string")
     got = {r.doc_id: (r.n_chars, r.shared_chars, round(r.shared_share, 3)) for r in spans.shared_shares(df, "id", "text", spans.shared_spans(df, "id", "text")).collect()}
     assert got == {1: (300, 300, 1.0), 2: (302, 300, 0.993), 3: (0, 0, 0.0), 4: (0, 0, 0.0)}
+
+
+def test_comparing_in_parts_changes_nothing(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(12), rng.randrange(5), rng.randrange(3), [rng.randrange(4) for _ in range(rng.randint(1, 5))]) for _ in range(200))
+    t = pa.table(
+        {
+            "doc": pa.array([r[1] for r in rows], pa.int64()), "start": pa.array([i * 1000 for i in range(200)], pa.int32()), "at": pa.array([r[2] for r in rows], pa.int16()), "h": pa.array([r[0] for r in rows], pa.int64()),
+            "least": pa.array([r[1] for r in rows], pa.int64()), "most": pa.array([r[1] for r in rows], pa.int64()), "hot": pa.array([False] * 200), "stretches": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+        }
+    )
+    found = lambda: sorted(tuple(x.values()) for b in spans._compare(iter(t.to_batches(max_chunksize=7))) for x in b.to_pylist())
+    together = found()
+    monkeypatch.setattr(spans, "TOGETHER", 10)
+    assert found() == together and together
