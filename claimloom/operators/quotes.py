@@ -57,18 +57,23 @@ def located(claims: DataFrame, locators: DataFrame, sections: DataFrame) -> Data
     return rows.select("claim_id", "source_id", "section_id", "page", "m.status", "m.start", "m.end")
 
 
+def _pieces(x: str) -> Column:
+    """Runs of Han characters, and runs of others without blanks."""
+    return F.regexp_extract_all(x, F.lit(r"\p{IsHan}+|[^\p{IsHan} ]+"), F.lit(0))
+
+
 def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
     """``claim_id, section_id, sequence_number, status``: the first section of its source that has the quote, exactly or normalised.
 
-    A quote that occurs has all its inner words (between two blanks) as words of the section, so the
-    rarest of them is the join key, together with the source. Quotes of fewer than three words are
-    compared with all sections of their source.
+    A quote that occurs has all its inner words (those bounded within the quote, by blanks or a change
+    to or from Han characters) as words of the section, so the rarest of them is the join key, together
+    with the source. Quotes of fewer than three words are compared with all sections of their source.
     """
-    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").where("nq <> ''").withColumn("w", F.split("nq", " "))
+    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").where("nq <> ''").withColumn("w", _pieces("nq"))
     inner = c.withColumn("inner", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
     # Texts are normalised once and kept, as they are read for their words and for the comparison.
     s = written(with_normal(spread(sections.select("source_id", "section_id", "sequence_number", "text")), "text", "nt"), "normal")
-    listed = s.select("source_id", "section_id", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
+    listed = s.select("source_id", "section_id", F.explode(F.array_distinct(_pieces("nt"))).alias("word"))
     often = listed.groupBy("source_id", "word").agg(F.count("*").alias("n"))
     rarest = (
         inner.where("inner IS NOT NULL")

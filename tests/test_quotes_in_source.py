@@ -7,7 +7,7 @@ from claimloom.operators import quotes
 
 def test_against_all_sections(spark):
     rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(30)]
+    vocabulary = [f"w{i}" for i in range(20)] + [f"溶解{i}" for i in range(5)] + ["水与", "的，"]
     sections = [(f"S{s}", f"X{s}-{n}", n, "  ".join(rng.choice(vocabulary) for _ in range(40))) for s in range(3) for n in range(8)]
     claims = []
     for i in range(60):
