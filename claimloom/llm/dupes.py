@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import written
 from claimloom.functions.text import WS
 
 MAX_WORDS = 1 << 22
@@ -145,7 +146,7 @@ def copies(rows: DataFrame, n_rows: int) -> DataFrame:
     holds a third of all records is one row there, and its members stay spread over their scans or the
     splits of a skewed join.
     """
-    members = _groups(possible_repeats(rows, filter_words(n_rows)))
+    members = written(_groups(possible_repeats(rows, filter_words(n_rows))), "members")
     least = members.groupBy("table_name", "digest").agg(F.min("record_id").alias("record_a"), F.max("record_id").alias("_most")).where("record_a < _most").drop("_most")
     return members.join(least, ["table_name", "digest"]).where("record_id <> record_a").select("table_name", "record_a", F.col("record_id").alias("record_b"))
 
