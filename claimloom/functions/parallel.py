@@ -11,4 +11,4 @@ def spread(df: DataFrame) -> DataFrame:
     For work that costs far more than a shuffle of its input, such as Python over texts of one small file.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
