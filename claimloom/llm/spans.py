@@ -4,7 +4,8 @@ Every stretch of SPAN code points has one anchor: of its 101 substrings of 100 c
 the least hash. Anchor and offset depend on the stretch alone, so equal stretches have equal anchors.
 A text becomes a list of seeds: an anchor with the run of consecutive stretches that it stands for.
 
-Anchors seen once are dropped by a merged Bloom filter. Seeds whose whole run of text is found in two
+Anchors that only one document has are dropped first: documents' distinct anchors are counted with
+partial aggregation, eight bytes each, and seeds are joined with those that repeat. Seeds whose whole run of text is found in two
 documents are shared entirely (a partial aggregation, whatever the number of copies). The others lie at
 the ends of shared spans: documents are joined on their anchors, and the matches extended both ways by
 comparing the stretches at each offset from the anchor. No pairs of documents are made. Anchors with
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
 from claimloom.functions.parallel import spread
-from claimloom.llm.dupes import filter_words, possible_repeats
 
 SPAN, ANCHOR = 200, 100
 #: Code points handled at once in a task, different runs of an anchor compared in one task, and seeds compared at once.
@@ -141,6 +141,23 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "start", "n", "at", "h", "run"])
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text, each once (in a text longer than a slice, once a slice)."""
+    for b in batches:
+        for _, points, room, of, _ in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            start, _, _, anchor, _ = _seeds_of(points, room)
+            doc = of[start]
+            order = np.lexsort((anchor, doc))
+            doc, anchor = doc[order], anchor[order]
+            new = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[np.flatnonzero(np.r_[len(doc) > 0, new])].view(np.int64))], ["h"])
+
+
+def repeated_anchors(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """``h`` of the anchors that several texts have, and perhaps of some that a very long one has twice."""
+    return df.select(record_id, text).mapInArrow(_anchors, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+
+
 def seeds(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``doc, start, n, at, h, run`` of every seed of every text of at least SPAN code points."""
     return df.select(record_id, text).mapInArrow(_seeds, "doc bigint, start int, n short, at short, h bigint, run bigint")
@@ -226,9 +243,9 @@ def shared_spans(df: DataFrame, record_id: str, text: str) -> DataFrame:
     do not count. Equality is that of a 128-bit hash (anchor and run, or anchor, offset and stretch).
     """
     df = spread(df.where(F.col(record_id).isNotNull()).select(record_id, text))
-    n = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    rows = possible_repeats(seeds(df, record_id, text), filter_words(n // 40)).where("repeats").drop("repeats")
-    rows = written(rows, "seeds")
+    # Written first, so that its size is known: Spark broadcasts it below its threshold and shuffles the seeds beyond.
+    repeated = written(repeated_anchors(df, record_id, text), "repeated")
+    rows = written(seeds(df, record_id, text).join(repeated, "h", "left_semi"), "seeds")
     runs = rows.groupBy("h", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "n", "at")).alias("one"))
     runs = written(runs, "runs")
     anchors = runs.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count_if(F.col("least") == F.col("most")).alias("n_open"), F.count("*").alias("n_runs")).where("a < b").select("h", "n_open", "n_runs")
