@@ -1,8 +1,8 @@
 """Mixing sources to target shares of all tokens, by fitting sums to budgets.
 
 Documents are counted by exact token length. Each source's budget is met by whole repeats of the
-source, then by the same fraction of every length, and the rest by dynamic programming over the lengths
-still free (a bounded knapsack), all on counts. Documents are then picked per length by a seeded hash.
+source, then by the same fraction of every length, and the rest (a few times the longest length) by
+dynamic programming over the lengths still free (a bounded knapsack), all on counts. Documents are then picked per length by a seeded hash.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from claimloom.functions.durable import written
 from claimloom.functions.text import strip
 
-#: The largest rest, in tokens, that the dynamic programme fits; greedy steps come before it.
-WIDEST = 1 << 16
+#: The rest that the dynamic programme fits, as a multiple of the longest length; a budget within it is fitted exactly.
+SLACK = 32
 #: Documents of one source and length that one window sorts; larger groups are cut by hash.
 BUCKET = 50_000
 
@@ -30,38 +30,40 @@ def name(x: str):
 
 
 def fit(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length (distinct, positive, at most ``free``) to take so that their sum comes as
-    near to the budget as can be from below."""
+    """How many of each length (distinct, positive, at most ``free``) to take so that their sum comes near to
+    the budget from below: as near as can be where the budget is within SLACK times the longest length."""
     total = int((lengths * free).sum())
     if budget >= total:
         return free.copy()
-    take = (free.astype(object) * budget // total).astype(np.int64)
+    longest = int(lengths.max())
+    take = (free.astype(object) * max(0, budget - SLACK * longest) // total).astype(np.int64)
     rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths):  # one more of the long ones until the rest is small
-        if rest <= 2 * lengths.max():
+    for i in np.argsort(-lengths):  # one more of the long ones until the rest is a few of the longest
+        if rest <= SLACK * longest:
             break
-        more = min(int(free[i] - take[i]), max(0, (rest - int(lengths.max())) // int(lengths[i])))
+        more = min(int(free[i] - take[i]), (rest - SLACK // 2 * longest) // int(lengths[i]))
         take[i] += more
         rest -= more * int(lengths[i])
-    if rest > WIDEST:
-        return take
-    # Bounded knapsack over sums up to the rest: bit s of ``reach`` says that s can be made.
-    reach, full = 1, (1 << rest + 1) - 1
-    made: list[tuple[int, int, int]] = []  # index, how many, and the sums first made by it
+    # Bounded knapsack over sums up to the rest: the step that first made each sum, or -1.
+    reach = np.zeros(rest + 1, bool)
+    reach[0] = True
+    made_by = np.full(rest + 1, -1, np.int32)
+    steps: list[tuple[int, int]] = []  # index of the length, and how many of it
     for i in np.argsort(lengths):
         n, size, chunk = int(min(free[i] - take[i], rest // lengths[i])), int(lengths[i]), 1
-        while n > 0 and not reach >> rest & 1:
+        while n > 0 and not reach[rest]:
             k = min(chunk, n)
-            new = (reach << k * size) & full & ~reach
-            if new:
-                made.append((int(i), k, new))
-                reach |= new
+            new = reach[: rest + 1 - k * size] & ~reach[k * size :]
+            if new.any():
+                made_by[k * size :][new] = len(steps)
+                reach[k * size :] |= new
+                steps.append((int(i), k))
             n, chunk = n - k, 2 * chunk
-    s = reach.bit_length() - 1
-    for i, k, new in reversed(made):
-        if new >> s & 1:
-            take[i] += k
-            s -= k * int(lengths[i])
+    s = int(np.flatnonzero(reach)[-1])
+    while s:
+        i, k = steps[made_by[s]]
+        take[i] += k
+        s -= k * int(lengths[i])
     return take
 
 

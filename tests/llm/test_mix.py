@@ -5,18 +5,23 @@ import numpy as np
 from claimloom.llm import mix
 
 
+def sums(lengths, free):
+    found = {0}
+    for size, n in zip(lengths, free, strict=True):
+        found = {x + k * size for x in found for k in range(n + 1)}
+    return found
+
+
 def test_fit_against_all_subsets():
     rng = random.Random(1)
     for _ in range(60):
         lengths = np.array(sorted(rng.sample(range(1, 40), rng.randint(1, 6))))
         free = np.array([rng.randint(1, 4) for _ in lengths])
-        total = int((lengths * free).sum())
-        budget = rng.randint(0, total + 5)
+        budget = rng.randint(0, int((lengths * free).sum()) + 5)
         take = mix.fit(lengths, free, budget)
         got = int((lengths * take).sum())
         assert (take >= 0).all() and (take <= free).all() and got <= budget
-        if budget >= total:
-            assert got == total
+        assert got == max(x for x in sums(lengths.tolist(), free.tolist()) if x <= budget)
 
 
 def test_fit_is_exact_where_many_lengths_are_free():
@@ -27,6 +32,13 @@ def test_fit_is_exact_where_many_lengths_are_free():
         assert int((lengths * mix.fit(lengths, free, budget)).sum()) == budget
 
 
+def test_fit_of_very_long_lengths():
+    lengths, free = np.array([1, 50_000, 300_000]), np.array([40_000, 4, 2])
+    for budget in (89_123, 250_001, 419_999, 739_999):
+        best = max(w + min(40_000, budget - w) for x in range(5) for y in range(3) if (w := 50_000 * x + 300_000 * y) <= budget)
+        assert int((lengths * mix.fit(lengths, free, budget)).sum()) == best
+
+
 def run(spark, docs, targets, **kw):
     counts = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint, times int")
     wanted = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
