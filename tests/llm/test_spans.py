@@ -92,3 +92,20 @@ def test_comparing_in_parts_changes_nothing(monkeypatch):
     together = found()
     monkeypatch.setattr(spans, "TOGETHER", 10)
     assert found() == together and together
+
+
+def test_without_broadcasts(spark):
+    """Beyond Spark's broadcast threshold the seeds are shuffled; the result is the same."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = corpus(5)
+        assert found(spark, docs) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_repeated_anchors_are_those_of_several_texts(spark):
+    docs = [(1, "ab" * 300), (2, corpus(6)[3][1]), (3, None), (4, "")]
+    anchors = lambda d: spans.repeated_anchors(spark.createDataFrame(d, "id bigint, text string"), "id", "text").count()
+    assert anchors(docs) == 0 and anchors([*docs, (5, "ab" * 200)]) > 0
