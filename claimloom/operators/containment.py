@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import words
+
+#: Characters of the pieces on which words and tokens are joined, but for shorter words; records of a block that are compared with one another.
+PIECE, TARGETS, CANDIDATES = 3, 20_000, 1_000
+
 
 def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
     """``target_id, candidate_id``: candidates that hold at least ``share`` of the target's words.
@@ -22,3 +32,76 @@ def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataF
     pairs = prefix.join(inverted, "word").select("target_id", "candidate_id").distinct()
     full = pairs.join(targets.select(F.col("id").alias("target_id"), F.col("words").alias("tw")), "target_id").join(candidates.select(F.col("id").alias("candidate_id"), F.col("words").alias("cw")), "candidate_id")
     return full.where(F.size(F.array_intersect("tw", "cw")) >= F.ceil(F.size("tw") * share - 1e-9)).select("target_id", "candidate_id")
+
+
+def _pieces(x: str, n: Column) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(F.col(x), i, n))
+
+
+def substrings(wanted: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """``keys, word, token``: the tokens that hold a word as a substring, within equal keys.
+
+    Both inputs are distinct, without white space and not empty; words have ``least`` characters or more.
+    A word is joined on its rarest piece of three characters (``least``, if more; words under three are
+    their own piece), then the whole word is checked. Joins with
+    exploded rows are by sorting: their size is estimated as that before the explosion, and broadcast.
+    """
+    most = max(least, PIECE)
+    sizes = F.sequence(F.lit(least), F.least(F.length("token"), F.lit(most)))
+    made = tokens.where(F.length("token") >= least).select(*keys, "token", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _pieces("token", n))))).alias("piece"))
+    often = made.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
+    listed = wanted.select(*keys, "word", F.explode(F.array_distinct(_pieces("word", F.least(F.length("word"), F.lit(most))))).alias("piece"))
+    rarest = listed.join(often.hint("merge"), [*keys, "piece"], "left").groupBy(*keys, "word").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").drop("n")
+    return rarest.join(made.hint("merge"), [*keys, "piece"]).where(F.contains("token", F.col("word"))).select(*keys, "word", "token")
+
+
+def holding(wanted: DataFrame, texts: DataFrame, least: int = 1) -> DataFrame:
+    """``word, id``: the texts (``id, text``) that hold a word as a substring.
+
+    A word without white space stands in a text exactly if it stands in one of its tokens, so words are
+    looked for in distinct tokens only.
+    """
+    listed = texts.select("id", F.explode(F.array_distinct(words("text"))).alias("token"))
+    return substrings(wanted, listed.select("token").distinct(), least=least).join(listed.hint("merge"), "token").select("word", "id").distinct()
+
+
+def overlapping(targets: DataFrame, held: DataFrame) -> DataFrame:
+    """``target_id, candidate_id``: all pairs in which a candidate holds at least ``need`` of the target's words.
+
+    ``targets`` has ``id, words, need``, repeats of a word counting each time; ``held`` is a result of
+    :func:`holding`. Where small shares suffice nearly all pairs have a word in common, so blocks of
+    targets and candidates are counted as bytes of a matrix; work grows with the product of both, as the
+    result does.
+    """
+    held = held.groupBy("id").agg(F.collect_list("word").alias("words"))
+    rows, columns = (max(1, math.ceil(df.count() / most)) for df, most in ((targets, TARGETS), (held, CANDIDATES)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.select("id", "words", "need", block(rows).alias("r"), every(columns).alias("c"))
+    right = held.select("id", "words", block(columns).alias("c"), every(rows).alias("r"))
+
+    def count(t: pa.Table, c: pa.Table) -> pa.Table:
+        found, who = [], []
+        if t.num_rows and c.num_rows:
+            t, c = t.combine_chunks(), c.combine_chunks()
+            asked, has = (x.column("words").combine_chunks() for x in (t, c))
+            known = pc.unique(has.flatten())
+            there = np.zeros((len(known) + 1, c.num_rows), np.uint8)  # the last row is for words that none holds
+            there[pc.index_in(has.flatten(), known).to_numpy(zero_copy_only=False), pc.list_parent_indices(has).to_numpy()] = 1
+            word = pc.fill_null(pc.index_in(asked.flatten(), known), len(known)).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+            for i, (end, need) in enumerate(zip(ends, t.column("need").to_numpy())):
+                ids = word[ends[i - 1] if i else 0 : end]
+                ids = ids[ids < len(known)]
+                if len(ids) >= need:
+                    hit = np.flatnonzero(there[ids].sum(0, dtype=np.uint32) >= need)
+                    if len(hit):
+                        found.append(hit)
+                        who.append(i)
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        ids = c.column("id").combine_chunks().cast(pa.string()).take(pa.array(np.concatenate(found))) if found else pa.array([], pa.string())
+        return pa.table({"target_id": t.column("id").cast(pa.string()).take(pa.array(who, pa.int64())), "ids": pa.ListArray.from_arrays(offsets, ids)})
+
+    got = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(count, "target_id string, ids array<string>")
+    return got.select("target_id", F.explode("ids").alias("candidate_id"))

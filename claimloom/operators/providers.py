@@ -10,10 +10,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import words
+
+#: The least characters of a text, the words that count (longer than that) and the fewest of them.
+TEXT_CHARS, WORD_CHARS, FEWEST = 20, 3, 2
 #: A provider takes the prompts of one batch and gives an answer for each; it may raise.
 Provider = Callable[[list[str]], list[str]]
 
 
+def long_words(x: Column | str) -> Column:
+    """The longer words in lower case, with their repeats."""
+    return F.filter(words(F.lower(x)), lambda w: F.length(w) > WORD_CHARS)
+
+
+def needed(n: Column) -> Column:
+    """How many of ``n`` longer words must stand in a text: half up to five, else 45 %, three at least."""
+    return F.when(n <= 5, n * 0.5).otherwise(F.greatest(n * F.lit(0.45), F.lit(3.0)))
+
+
 def prompt(template: str, **parts: Column) -> Column:
     """The template with each ``{name}`` replaced by a column; NULL becomes ''."""
     x = F.lit(template)

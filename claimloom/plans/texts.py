@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
+from claimloom.functions.durable import written
 from claimloom.functions.jsonclaims import parse_answers
-from claimloom.operators import containment, quotes, segments, validation
+from claimloom.functions.parallel import spread
+from claimloom.operators import containment, providers, quotes, segments, validation
 from claimloom.operators.deliveries import once
 from claimloom.operators.sequences import numbering
 from claimloom.plans import sqltext as Q
@@ -126,12 +128,15 @@ def txt4_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt5_provider(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-5, ARR-2: claims that a deterministic provider would emit for a request of their source (70 % of the longer words occur), with the first such request."""
-    of_source = lambda x: F.transform(F.array_distinct(F.filter(T.words(F.lower(x)), lambda w: F.length(w) > 3)), lambda w: F.concat("source_id", F.lit(" "), w))
-    asked = once(table(spark, d, "extraction_requests"), "request_id").where("source_id IS NOT NULL").select(F.col("request_id").alias("id"), of_source("section_text").alias("words"))
-    known = _claims(spark, d).where("source_id IS NOT NULL").select(F.col("claim_id").alias("id"), of_source("source_quote").alias("words")).where(F.size("words") >= 2)
-    found = containment.containing(known, asked, 0.7)
-    return found.groupBy(F.col("target_id").alias("claim_id")).agg(F.min("candidate_id").alias("request_id"))
+    """TXT-5, MTH-1, ARR-2: every claim that a deterministic provider emits, with each request that it emits it for.
+
+    Enough of the claim's words of over three characters stand in the request's text as substrings.
+    """
+    asked = once(table(spark, d, "extraction_requests"), "request_id").where(F.length(T.strip("section_text")) >= providers.TEXT_CHARS).select(F.col("request_id").alias("id"), F.lower("section_text").alias("text"))
+    known = _claims(spark, d).select(F.col("claim_id").alias("id"), providers.long_words("source_quote").alias("words")).where(F.size("words") >= providers.FEWEST)
+    known = written(spread(known).withColumn("need", providers.needed(F.size("words"))), "known")
+    held = containment.holding(known.select(F.explode("words").alias("word")).distinct(), spread(asked), least=4)
+    return containment.overlapping(known, written(held, "held")).select(F.col("target_id").alias("claim_id"), F.col("candidate_id").alias("request_id"))
 
 
 def txt8_quote_dedup(spark: SparkSession, d: str) -> DataFrame:
