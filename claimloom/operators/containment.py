@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import written
 from claimloom.functions.text import words
 
 #: Characters of the pieces on which words and tokens are joined, but for shorter words; records of a block that are compared with one another.
@@ -105,3 +106,21 @@ def overlapping(targets: DataFrame, held: DataFrame) -> DataFrame:
 
     got = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(count, "target_id string, ids array<string>")
     return got.select("target_id", F.explode("ids").alias("candidate_id"))
+
+
+def covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``target_id, candidate_id``: the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
+
+    ``targets`` has ``id, quote, words, need, whole``; repeats of a word count each time, and where ``whole``
+    is true the text must hold the quote itself. As in :func:`containing`, only a target's rarest words
+    are joined on; the rest is checked in the text.
+    """
+    listed = targets.select(F.col("id").alias("target_id"), "need", F.explode("words").alias("word"))
+    held = written(holding(listed.select("word").distinct(), candidates), "held")
+    often = held.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = listed.join(often.hint("merge"), "word", "left").groupBy("target_id", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word")))).alias("o"))
+    prefix = ordered.select("target_id", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.col("need") + 1).cast("int"))).alias("p")).where("p.n > 0").select("target_id", F.col("p.word").alias("word")).distinct()
+    pairs = prefix.join(held.hint("merge"), "word").select("target_id", F.col("id").alias("candidate_id")).distinct()
+    full = pairs.join(targets.withColumnRenamed("id", "target_id"), "target_id").join(candidates.select(F.col("id").alias("candidate_id"), "text"), "candidate_id")
+    enough = F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))) >= F.col("need")
+    return full.where(enough & (~F.col("whole") | F.contains("text", F.col("quote")))).select("target_id", "candidate_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import strip, words
-from claimloom.operators.containment import containing
+from claimloom.operators.containment import covering
 
 #: Hedging words, found as substrings; the least percentages of the gate, and the share of words of a match.
 HEDGES = ("may", "might", "could", "suggest", "potential", "possibly", "likely", "appears", "indicate")
@@ -21,20 +21,19 @@ def has_hedging(x: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def long_words(x: Column | str) -> Column:
-    """Distinct words of more than two characters, in lower case."""
-    return F.array_distinct(F.filter(words(F.lower(x)), lambda w: F.length(w) > 2))
-
-
 def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
-    """``annotation_id, claim_id``: the least claim id among those that hold 70 % of the annotation's words.
+    """``annotation_id, claim_id``: the least claim id among those whose quote holds the annotation's quote or 70 % of its words.
 
-    Words are compared whole. Both inputs have ``source_quote``; quotes without words of three
-    characters match nothing.
+    Words have more than two characters, stand anywhere in the claim's quote and count each time; case
+    does not matter. Quotes without such words are only looked for as a whole. Both inputs have ``source_quote``.
     """
-    a = annotations.select(F.col("annotation_id").alias("id"), long_words("source_quote").alias("words")).where(F.size("words") > 0)
-    c = claims.select(F.col("claim_id").alias("id"), long_words("source_quote").alias("words"))
-    return containing(a, c, SHARE).groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
+    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''")
+    a = a.withColumn("long", F.filter(words("quote"), lambda w: F.length(w) > 2)).withColumn("whole", F.size("long") == 0)
+    # A claim that holds the whole quote holds all its words.
+    a = a.select("id", "quote", "whole", F.when(F.col("whole"), words("quote")).otherwise(F.col("long")).alias("words"))
+    a = a.withColumn("need", F.when(F.col("whole"), F.size("words")).otherwise(F.ceil(F.size("words") * SHARE - 1e-9)))
+    c = claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text"))
+    return covering(a, c).groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
 
 
 def percent(part: Column, whole: Column) -> Column:

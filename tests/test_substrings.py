@@ -1,7 +1,9 @@
 """Matches by substrings against all pairs of the given tables, by the reference's rules."""
 
+import pytest
+
 from claimloom import plans
-from claimloom.operators import containment
+from claimloom.operators import containment, evaluation
 from tests.conftest import DATA
 
 
@@ -30,3 +32,31 @@ def emitted(quote, text):
 def test_provider_emits_all_pairs(spark, duck):
     want = {(c["claim_id"], r["request_id"]) for c in records(duck, "source_claims", "claim_id") for r in records(duck, "extraction_requests", "request_id") if emitted(c["source_quote"], r["section_text"] or "")}
     assert want and rows("txt5_provider", spark) == want
+
+
+def best_match(quote, claims):
+    target = (quote or "").strip().lower()
+    words = [w for w in target.split() if len(w) > 2]
+    for c in claims:
+        text = (c["source_quote"] or "").lower().strip()
+        if target and (target in text or words and sum(w in text for w in words) / len(words) >= 0.7):
+            return c["claim_id"]
+
+
+def split(duck):
+    claims = sorted(records(duck, "source_claims", "claim_id"), key=lambda c: c["claim_id"])
+    of = lambda *s: [c for c in claims if c["record_review_status"] in s]
+    return of("pending"), of("rejected"), of("approved", "approved_with_edits")
+
+
+def test_best_matches(spark, duck):
+    positive, negative, claims = split(duck)
+    found = ((a["claim_id"], best_match(a["source_quote"], claims)) for a in positive + negative)
+    want = {x for x in found if x[1]}
+    assert want and rows("evl1_best_match", spark) == want
+
+
+@pytest.mark.parametrize("quote, text, hit", [("melted", "it melted, then", True), ("采用分步退火", "采用分步退火制备", True), ("a b", "xa by", True), ("a b", "a c b", False), ("aaa aaa bbb", "aaa", False), ("bbb aaa aaa aaa", "aaa", True)])
+def test_best_match_of_one(spark, quote, text, hit):
+    a, c = spark.createDataFrame([("A", quote)], "annotation_id string, source_quote string"), spark.createDataFrame([("C", text), ("D", "other")], "claim_id string, source_quote string")
+    assert [tuple(r) for r in evaluation.best_matches(a, c).collect()] == ([("A", "C")] if hit else [])
