@@ -135,10 +135,13 @@ def join13_batch_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join16_labels(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-16: locators' figure and table labels, and whether their located section names them."""
-    at = records(spark, d, "claim_locators").select("locator_id", "section_id", F.explode(F.array_compact(F.array("figure_label", "table_label"))).alias("label"))
-    s = records(spark, d, "source_sections").select("section_id", F.lower("text").alias("t"))
-    return at.join(s, "section_id").select("locator_id", "label", F.contains("t", F.lower("label")).alias("named"))
+    """JOIN-16: locators' figure and table labels, and whether any section of their claim's source names them."""
+    c = records(spark, d, "source_claims").select("claim_id", "source_id")
+    at = records(spark, d, "claim_locators").select("locator_id", "claim_id", F.explode(F.array_compact(F.array("figure_label", "table_label"))).alias("label"))
+    rows = at.join(c, "claim_id", "left").withColumn("l", F.lower("label"))
+    s = records(spark, d, "source_sections").select("source_id", F.lower("text").alias("t"))
+    hits = rows.select("source_id", "l").distinct().join(s, "source_id").groupBy("source_id", "l").agg(F.bool_or(F.contains("t", F.col("l"))).alias("named"))
+    return rows.join(hits, ["source_id", "l"], "left").select("locator_id", "label", F.coalesce("named", F.lit(False)).alias("named"))
 
 
 def set1_tasks(spark: SparkSession, d: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_best_matches(spark, duck):
 def test_best_match_of_one(spark, quote, text, hit):
     a, c = spark.createDataFrame([("A", quote)], "annotation_id string, source_quote string"), spark.createDataFrame([("C", text), ("D", "other")], "claim_id string, source_quote string")
     assert [tuple(r) for r in evaluation.best_matches(a, c).collect()] == ([("A", "C")] if hit else [])
+
+
+def test_labels_in_any_section(spark, duck):
+    source = {c["claim_id"]: c["source_id"] for c in records(duck, "source_claims", "claim_id")}
+    texts = [(s["source_id"], (s["text"] or "").lower()) for s in records(duck, "source_sections", "section_id")]
+    found = lambda s, l: s is not None and any(l.lower() in t for x, t in texts if x == s)
+    want = [(at["locator_id"], l, found(source.get(at["claim_id"]), l)) for at in records(duck, "claim_locators", "locator_id") for l in (at["figure_label"], at["table_label"]) if l is not None]
+    got = [tuple(r) for r in plans.queries()["join16_labels"](spark, str(DATA)).collect()]
+    assert want and sorted(got) == sorted(want)
