@@ -93,6 +93,15 @@ def paragraph_chunks(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, F.array(text)).otherwise(folded)
 
 
+def place(text: Column, quote: Column) -> Column:
+    """Where the quote begins in the text, exactly or else with all white space left out of both; -1 where it is not, or either is empty or NULL."""
+    bare = lambda x: F.regexp_replace(x, f"{WS}+", "")
+    exact, free = F.instr(text, quote) - 1, F.instr(bare(text), bare(quote)) - 1
+    solid = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c, i: F.when(~F.regexp_like(c, F.lit(WS)), i)))
+    found = F.when(exact >= 0, exact).when(free >= 0, F.coalesce(F.try_element_at(solid, free + 1), F.length(text)))
+    return F.coalesce(F.when((F.length(text) > 0) & (F.length(quote) > 0), found), F.lit(-1))
+
+
 def context(text: Column, start: Column, size: Column, radius: int = 240) -> Column:
     """``struct(before, after)``: up to ``radius`` characters either side of a place, stripped."""
     begin = F.greatest(start - radius, F.lit(0))

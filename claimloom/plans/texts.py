@@ -61,12 +61,12 @@ def str12_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def str13_quote_context(spark: SparkSession, d: str) -> DataFrame:
-    """STR-13: 240 characters either side of each quote that stands exactly in its located section."""
+    """STR-13: 240 characters either side of each locator's quote in its section, white space being free if need be; empty where it is not found."""
     c, s = _claims(spark, d).select("claim_id", "source_quote"), _sections(spark, d).select("section_id", "text")
     at = once(table(spark, d, "claim_locators"), "locator_id").select("locator_id", "claim_id", "section_id")
-    rows = at.join(c, "claim_id").join(s, "section_id").withColumn("at", F.instr(F.col("text"), F.col("source_quote")) - 1).where("at >= 0")
-    x = segments.context(F.col("text"), F.col("at"), F.length("source_quote"))
-    return rows.select("locator_id", x.alias("x")).select("locator_id", "x.before", "x.after")
+    rows = at.join(c, "claim_id", "left").join(s, "section_id", "left").withColumn("at", segments.place(F.col("text"), F.col("source_quote")))
+    x = F.when(F.col("at") >= 0, segments.context(F.col("text"), F.col("at"), F.length("source_quote")))
+    return rows.select("locator_id", x.alias("x")).select("locator_id", F.coalesce("x.before", F.lit("")).alias("before"), F.coalesce("x.after", F.lit("")).alias("after"))
 
 
 def str14_html(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Matches by substrings against all pairs of the given tables, by the reference's rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom import plans
-from claimloom.operators import containment, evaluation
+from claimloom.operators import containment, evaluation, segments
 from tests.conftest import DATA
 
 
@@ -69,3 +70,9 @@ def test_labels_in_any_section(spark, duck):
     want = [(at["locator_id"], l, found(source.get(at["claim_id"]), l)) for at in records(duck, "claim_locators", "locator_id") for l in (at["figure_label"], at["table_label"]) if l is not None]
     got = [tuple(r) for r in plans.queries()["join16_labels"](spark, str(DATA)).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("text, quote, at", [("a b c", "b c", 2), ("x\n𝛥 b\nc d", " 𝛥b c", 2), ("ab", "c", -1), ("", "c", -1), (None, "c", -1), ("  ", " \t", 2)])
+def test_place(spark, text, quote, at):
+    df = spark.createDataFrame([(text, quote)], "t string, q string")
+    assert df.select(segments.place(F.col("t"), F.col("q"))).first()[0] == at
