@@ -36,6 +36,17 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     return covering(a, c).groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
 
 
+def unsupported(annotations: DataFrame, claims: DataFrame) -> DataFrame:
+    """``claim_id`` of claims whose stripped quote is no positive annotation's and holds no negative one's; blank quotes are skipped."""
+    quote = strip("source_quote")
+    c = claims.select("claim_id", quote.alias("quote")).where("quote <> ''")
+    left = c.join(annotations.where("must_extract").select(quote.alias("quote")).distinct(), "quote", "left_anti")
+    n = annotations.where("NOT must_extract").select(quote.alias("quote")).where("quote <> ''").distinct()
+    n = n.select(F.col("quote").alias("id"), "quote", F.lit(True).alias("whole"), words("quote").alias("words"), F.size(words("quote")).alias("need"))
+    holds = covering(n, left.select(F.col("claim_id").alias("id"), F.col("quote").alias("text"))).select(F.col("candidate_id").alias("claim_id"))
+    return left.join(holds, "claim_id", "left_anti").select("claim_id")
+
+
 def percent(part: Column, whole: Column) -> Column:
     """A percentage to one decimal; 100 where there is nothing to count."""
     return F.when(whole == 0, 100.0).otherwise(F.round(part * 100 / whole, 1))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import strip
 from claimloom.operators import evaluation, search
 from claimloom.plans import sqltext as Q
 from claimloom.plans.joins import _t, records
@@ -71,10 +70,8 @@ def evl2_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evl3_unsupported(spark: SparkSession, d: str) -> DataFrame:
-    """EVL-3: extracted claims whose quote is no positive annotation's."""
-    a = _annotations(spark, d).where("must_extract").select(strip("source_quote").alias("q")).distinct()
-    c = _extracted(spark, d).select("claim_id", strip("source_quote").alias("q")).where("q <> ''")
-    return c.join(a, "q", "left_anti").agg(F.count("*").alias("n"))
+    """EVL-3: extracted claims whose quote is no positive annotation's and holds no negative one's."""
+    return evaluation.unsupported(_annotations(spark, d), _extracted(spark, d)).agg(F.count("*").alias("n"))
 
 
 def evl4_gate(spark: SparkSession, d: str) -> DataFrame:

@@ -63,6 +63,12 @@ def test_best_match_of_one(spark, quote, text, hit):
     assert [tuple(r) for r in evaluation.best_matches(a, c).collect()] == ([("A", "C")] if hit else [])
 
 
+def test_unsupported(spark):
+    a = spark.createDataFrame([("A", "b c", False), ("B", " good ", True), ("C", " ", False)], "annotation_id string, source_quote string, must_extract boolean")
+    c = spark.createDataFrame([("1", "ab cd"), ("2", "good"), ("3", "new"), ("4", ""), ("5", "b x c")], "claim_id string, source_quote string")
+    assert {r.claim_id for r in evaluation.unsupported(a, c).collect()} == {"3", "5"}
+
+
 def test_labels_in_any_section(spark, duck):
     source = {c["claim_id"]: c["source_id"] for c in records(duck, "source_claims", "claim_id")}
     texts = [(s["source_id"], (s["text"] or "").lower()) for s in records(duck, "source_sections", "section_id")]
