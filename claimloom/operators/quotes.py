@@ -62,8 +62,8 @@ def _pieces(x: str) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\p{IsHan}+|[^\p{IsHan} ]+"), F.lit(0))
 
 
-def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
-    """``claim_id, section_id, sequence_number, status``: the first section of its source that has the quote, exactly or normalised.
+def hits_in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
+    """``claim_id, section_id, sequence_number, kind``: all sections of its source that have the quote, exactly (0) or normalised (1).
 
     A quote that occurs has all its inner words (those bounded within the quote, by blanks or a change
     to or from Han characters) as words of the section, so the rarest of them is the join key, together
@@ -87,6 +87,24 @@ def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
     short = inner.where("inner IS NULL").select("claim_id", "source_id").join(s.select("source_id", "section_id"), "source_id").select("claim_id", "section_id")
     tried = pairs.unionByName(short).join(c.select("claim_id", "source_quote", "nq"), "claim_id").join(s.select("section_id", "sequence_number", "text", "nt"), "section_id")
     kind = F.when(F.contains("text", "source_quote"), 0).when(F.contains("nt", "nq"), 1)
-    hits = tried.select("claim_id", "section_id", "sequence_number", kind.alias("kind")).where("kind IS NOT NULL")
-    best = hits.groupBy("claim_id").agg(F.min(F.struct("kind", "sequence_number", "section_id")).alias("b"))
+    return tried.select("claim_id", "section_id", "sequence_number", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
+    """``claim_id, section_id, sequence_number, status``: the first section of its source that has the quote, exactly or normalised."""
+    best = hits_in_source(claims, sections).groupBy("claim_id").agg(F.min(F.struct("kind", "sequence_number", "section_id")).alias("b"))
     return best.select("claim_id", "b.section_id", "b.sequence_number", F.when(F.col("b.kind") == 0, "exact").otherwise("normalised").alias("status"))
+
+
+def partly_in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
+    """``claim_id`` of quotes of five words or more, over 80 % of which stand somewhere in their source.
+
+    For claims without another match: each is compared with all sections of its source. A word has no
+    white space, so it never stands across two sections.
+    """
+    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").select("claim_id", "source_id", F.transform(words("nq"), F.lower).alias("w")).where(F.size("w") >= FEWEST)
+    s = with_normal(sections.select("source_id", "text"), "text", "nt").select("source_id", F.lower("nt").alias("t"))
+    found = c.join(s, "source_id").select("claim_id", F.explode(F.filter(F.array_distinct("w"), lambda w: F.contains(F.col("t"), w))).alias("word")).distinct()
+    there = found.groupBy("claim_id").agg(F.collect_list("word").alias("there"))
+    share = F.size(F.filter("w", lambda w: F.array_contains("there", w))) / F.size("w")
+    return c.join(there, "claim_id").where(share > SHARE).select("claim_id")

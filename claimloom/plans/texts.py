@@ -95,19 +95,35 @@ def txt2_source_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt2_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-2, FLT-9, FLT-10, SET-6: each claim validated, failed or invalid, with its messages and confidence."""
-    c = _claims(spark, d)
-    first = txt1_quote_match(spark, d).select("claim_id", F.col("status").alias("first"))
-    page = once(table(spark, d, "claim_locators"), "locator_id").groupBy("claim_id").agg(F.min_by(F.struct("page"), "locator_id").alias("l")).select("claim_id", "l.page")
-    anywhere = quotes.in_source(c, _sections(spark, d)).select("claim_id", F.col("status").alias("anywhere"))
-    rows = c.join(first, "claim_id").join(anywhere, "claim_id", "left").join(page, "claim_id", "left")
-    hit = F.when(F.col("first").isin("exact", "normalised"), F.col("first")).otherwise(F.coalesce("anywhere", "first"))
-    rows = rows.select("claim_id", hit.alias("match_status"), "page", validation.schema_errors().alias("schema"), validation.leaks([*validation.REQUIRED, "scope_description", "author_hedging"]).alias("leak"))
+    """TXT-2, FLT-9, FLT-10, SET-6, JOIN-16: each claim validated, failed or invalid, with its messages, page and confidence.
+
+    A quote that is not in its located section is looked for in the whole source, whose first section that
+    has it then gives the page. Errors of the locator are recorded and do not reject; sections stand for pages.
+    """
+    c, s = _claims(spark, d), _sections(spark, d)
+    first = written(txt1_quote_match(spark, d).select("claim_id", F.col("status").alias("first")), "first")
+    at = once(table(spark, d, "claim_locators"), "locator_id").groupBy("claim_id").agg(F.min_by(F.struct("page", "figure_label", "table_label"), "locator_id").alias("l")).select("claim_id", F.col("l.page").alias("claimed"), "l.figure_label", "l.table_label")
+    rest = c.join(first.where("first NOT IN ('exact', 'normalised')").select("claim_id"), "claim_id")
+    hits = quotes.hits_in_source(rest, s).join(s.select("section_id", "page_start"), "section_id")
+    anywhere = written(hits.groupBy("claim_id").agg(F.min("kind").alias("kind"), F.min_by("page_start", F.struct("sequence_number", "section_id")).alias("found_on")), "anywhere")
+    partly = quotes.partly_in_source(rest.join(anywhere, "claim_id", "left_anti"), s).withColumn("partly", F.lit(True))
+    status = F.when(F.col("first").isin("exact", "normalised"), F.col("first")).when(F.col("kind") == 0, "exact").when(F.col("kind") == 1, "normalised").when(F.col("partly"), "ambiguous").otherwise("not_found")
+    rows = c.join(first, "claim_id").join(anywhere, "claim_id", "left").join(partly, "claim_id", "left").join(at, "claim_id", "left").withColumn("match_status", status)
+    rows = rows.withColumn("page", F.when(F.col("claimed").isNotNull(), F.coalesce("found_on", "claimed")))
+    # Pages and labels of a source, each looked up once in its sections.
+    asked = rows.select("source_id", F.explode(F.array(*(F.struct(F.lit(w).alias("what"), x.alias("value")) for w, x in (("Page", F.col("page").cast("string")), ("label", F.lower("figure_label")), ("label", F.lower("table_label")))))).alias("x")).select("source_id", "x.*").where("value <> ''").distinct()
+    there = F.when(F.col("what") == "Page", F.col("value").try_cast("int").between(F.col("page_start"), F.coalesce("page_end", "page_start"))).otherwise(F.contains(F.lower("text"), F.col("value")))
+    known = asked.join(s.select("source_id", "page_start", "page_end", "text"), "source_id").where(there).groupBy("source_id").agg(F.collect_set(F.struct("what", "value")).alias("known"))
+    rows = rows.join(known, "source_id", "left")
+    missing = lambda what, x: (x != "") & ~F.coalesce(F.array_contains("known", F.struct(F.lit(what).alias("what"), x.alias("value"))), F.lit(False))
+    wrong = [F.when(missing("Page", F.col("page").cast("string")), F.concat(F.lit("Page "), "page", F.lit(" does not exist")))]
+    wrong += [F.when(missing("label", F.lower(f)), F.concat(F.lit(f"{w} '"), f, F.lit("' not in source"))) for w, f in (("Figure", "figure_label"), ("Table", "table_label"))]
+    rows = rows.select("claim_id", "match_status", "page", F.array_join(F.array_compact(F.array(*wrong)), "; ").alias("locator_errors"), validation.schema_errors().alias("schema"), validation.leaks([*validation.REQUIRED, "scope_description", "author_hedging"]).alias("leak"))
     found = F.col("match_status").isin("exact", "normalised")
     bucket = F.when(F.size("schema") > 0, "invalid_schema").when(~found | (F.size("leak") > 0), "failed_locator").otherwise("validated")
     confidence = F.when(found & F.col("page").isNotNull(), F.when(F.col("match_status") == "exact", "high").otherwise("medium")).when(found, "low")
     errors = F.array_join(F.when(F.size("schema") > 0, F.col("schema")).when(~found, F.array(F.concat(F.lit("Quote: "), F.col("match_status")))).otherwise(F.col("leak")), "; ")
-    return rows.select("claim_id", "match_status", bucket.alias("bucket"), confidence.alias("confidence"), errors.alias("errors"))
+    return rows.select("claim_id", "match_status", bucket.alias("bucket"), confidence.alias("confidence"), errors.alias("errors"), "page", "locator_errors")
 
 
 def txt3_sections(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Matches by substrings against all pairs of the given tables, by the reference's rules."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom import plans
+from claimloom.functions.text import DASHES
 from claimloom.operators import containment, evaluation, segments
 from tests.conftest import DATA
 
@@ -82,3 +86,26 @@ def test_labels_in_any_section(spark, duck):
 def test_place(spark, text, quote, at):
     df = spark.createDataFrame([(text, quote)], "t string, q string")
     assert df.select(segments.place(F.col("t"), F.col("q"))).first()[0] == at
+
+
+def test_buckets_over_the_whole_source(spark, duck):
+    claims, located = records(duck, "source_claims", "claim_id"), {}
+    for at in sorted(records(duck, "claim_locators", "locator_id"), key=lambda x: x["locator_id"]):
+        located.setdefault(at["claim_id"], at)
+    sections = records(duck, "source_sections", "section_id")
+    norm = lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFC", x)).translate({ord(d): "-" for d in DASHES}).strip()
+    got = {r.claim_id: r for r in plans.queries()["txt2_buckets"](spark, str(DATA)).collect()}
+    assert len(got) == len(claims)
+    seen = set()
+    for c in claims:
+        pages = sorted((s for s in sections if s["source_id"] == c["source_id"]), key=lambda s: (s["sequence_number"], s["section_id"]))
+        texts, at, r = "\n".join(s["text"] or "" for s in pages).lower(), located.get(c["claim_id"], {}), got[c["claim_id"]]
+        words = norm(c["source_quote"] or "").split()
+        if r.match_status in ("ambiguous", "not_found"):
+            share = sum(w.lower() in norm(texts) for w in words) / max(len(words), 1)
+            assert r.match_status == ("ambiguous" if len(words) >= 5 and share > 0.8 else "not_found")
+        errors = [f"Page {r.page} does not exist"] if r.page is not None and not any(s["page_start"] <= r.page <= (s["page_end"] or s["page_start"]) for s in pages if s["page_start"] is not None) else []
+        errors += [f"{w} '{at[f]}' not in source" for w, f in (("Figure", "figure_label"), ("Table", "table_label")) if at.get(f) and at[f].lower() not in texts]
+        assert r.locator_errors == "; ".join(errors) and (r.page is None) == (at.get("page") is None)
+        seen.add(r.match_status)
+    assert "ambiguous" in seen
