@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from claimloom.functions.durable import written
 from claimloom.functions.text import words
 
-#: Characters of the pieces on which words and tokens are joined, but for shorter words; records of a block that are compared with one another.
-PIECE, TARGETS, CANDIDATES = 3, 20_000, 1_000
+#: Characters of the pieces on which words and tokens are joined, but for shorter words; pieces of a word that are weighed; records of a block that are compared with one another.
+PIECE, WEIGHED, TARGETS, CANDIDATES = 3, 8, 20_000, 1_000
 
 
 def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
@@ -52,7 +52,10 @@ def substrings(wanted: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = (),
     sizes = F.sequence(F.lit(least), F.least(F.length("token"), F.lit(most)))
     made = tokens.where(F.length("token") >= least).select(*keys, "token", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _pieces("token", n))))).alias("piece"))
     often = made.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
-    listed = wanted.select(*keys, "word", F.explode(F.array_distinct(_pieces("word", F.least(F.length("word"), F.lit(most))))).alias("piece"))
+    # Any piece of a word will do: of long words some are weighed, evenly spaced.
+    own = _pieces("word", F.least(F.length("word"), F.lit(most)))
+    some = F.filter(own, lambda p, i: i % F.ceil(F.size(own) / WEIGHED) == 0)
+    listed = wanted.select(*keys, "word", F.explode(F.array_distinct(some)).alias("piece"))
     rarest = listed.join(often.hint("merge"), [*keys, "piece"], "left").groupBy(*keys, "word").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").drop("n")
     return rarest.join(made.hint("merge"), [*keys, "piece"]).where(F.contains("token", F.col("word"))).select(*keys, "word", "token")
 
