@@ -31,9 +31,9 @@ def heading_type(line: Column) -> Column:
 def page_headings(pages: DataFrame) -> DataFrame:
     """``source_id, page, n_chars, opens``: the last heading line of each page as ``struct(kind, heading)``, or NULL.
 
-    Only lines short enough to be a heading are looked at.
+    Only lines that are short enough to be a heading, once stripped, are looked at.
     """
-    short = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) < 80), strip)
+    short = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: F.length(x) < 80)
     lines = F.transform(short, lambda x: F.struct(heading_type(x).alias("kind"), x.alias("heading")))
     last = F.try_element_at(F.filter(lines, lambda x: x["kind"].isNotNull()), F.lit(-1))
     return pages.select("source_id", "page", F.length("text").alias("n_chars"), last.alias("opens"))

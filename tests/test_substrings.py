@@ -109,3 +109,8 @@ def test_buckets_over_the_whole_source(spark, duck):
         assert r.locator_errors == "; ".join(errors) and (r.page is None) == (at.get("page") is None)
         seen.add(r.match_status)
     assert "ambiguous" in seen
+
+
+def test_padded_heading(spark):
+    pages = spark.createDataFrame([("S", 1, " " * 90 + "Discussion\nx")], "source_id string, page int, text string")
+    assert [r.section_type for r in segments.sections(pages).collect()] == ["discussion"]
