@@ -1,14 +1,16 @@
 """Text expressions that mean the same in Spark and in the SQL they are checked against.
 
 White space is the class that Python's ``\\s`` has over the basic plane; Spark's own ``\\s`` and
-``trim`` know only ASCII. Everything here is a plain column expression, but for :func:`nfc`.
+``trim`` know only ASCII. Everything here is a plain column expression, but for :func:`nfc` 
+:func:`unaccent`, :func:`normalise` and :func:`runs`, which handle whole Arrow arrays.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,27 +39,42 @@ def fold_dashes(x: Column | str) -> Column:
     return F.translate(col(x), DASHES, "-" * len(DASHES))
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC, for which Spark has no function; ASCII passes untouched."""
-    return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
+def _composed(texts: pa.Array) -> pa.Array:
+    """NFC by Python's tables: Arrow's own kernel leaves letters decomposed in the version at hand."""
+    return pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFC", s) for s in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def unaccent(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Unicode NFC, for which Spark has no function."""
+    return _composed(texts)
+
+
+@F.arrow_udf(StringType())
+def unaccent(texts: pa.Array) -> pa.Array:
     """Without combining marks (NFD, drop category Mn, back to NFC)."""
+    return _composed(pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFD"), r"\p{Mn}+", ""))
 
-    def one(s: str | None) -> str | None:
-        if s is None or s.isascii():
-            return s
-        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
 
-    return texts.map(one)
+@F.arrow_udf(StringType())
+def _normal(texts: pa.Array) -> pa.Array:
+    flat = pc.replace_substring_regex(_composed(texts), f"{WS}+", " ")
+    return pc.utf8_trim(pc.replace_substring_regex(flat, f"[{DASHES}]", "-"), " ")
 
 
 def normalise(x: Column | str) -> Column:
     """The form in which quotes are compared: NFC, white space collapsed, dashes folded, stripped."""
-    return strip(fold_dashes(collapse(nfc(col(x)))))
+    return _normal(col(x))
+
+
+@F.arrow_udf(StringType())
+def _spaced(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(texts, r"([\x{2e80}-\x{9fff}\x{f900}-\x{faff}]+)", r" \1 ")
+
+
+def runs(x: Column | str) -> Column:
+    """Runs of Chinese characters and runs of others, of a text whose only white space are blanks; an array."""
+    return F.array_remove(F.split(_spaced(col(x)), " "), "")
 
 
 def words(x: Column | str) -> Column:

@@ -35,29 +35,33 @@ def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataF
     return full.where(F.size(F.array_intersect("tw", "cw")) >= F.ceil(F.size("tw") * share - 1e-9)).select("target_id", "candidate_id")
 
 
-def _pieces(x: str, n: Column) -> Column:
+def _pieces(x: str, n: int) -> Column:
     """All substrings of ``n`` characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(F.col(x), i, n))
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def substrings(wanted: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     """``keys, word, token``: the tokens that hold a word as a substring, within equal keys.
 
     Both inputs are distinct, without white space and not empty; words have ``least`` characters or more.
-    A word is joined on its rarest piece of three characters (``least``, if more; words under three are
-    their own piece), then the whole word is checked. Joins with
+    A word is joined on its rarest piece of three characters (``least``, if more; shorter words are their
+    own piece), then the whole word is checked. Only pieces that a word has are kept of the tokens. Joins with
     exploded rows are by sorting: their size is estimated as that before the explosion, and broadcast.
     """
     most = max(least, PIECE)
-    sizes = F.sequence(F.lit(least), F.least(F.length("token"), F.lit(most)))
-    made = tokens.where(F.length("token") >= least).select(*keys, "token", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _pieces("token", n))))).alias("piece"))
-    often = made.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
     # Any piece of a word will do: of long words some are weighed, evenly spaced.
-    own = _pieces("word", F.least(F.length("word"), F.lit(most)))
+    own = _pieces("word", most)
     some = F.filter(own, lambda p, i: i % F.ceil(F.size(own) / WEIGHED) == 0)
-    listed = wanted.select(*keys, "word", F.explode(F.array_distinct(some)).alias("piece"))
-    rarest = listed.join(often.hint("merge"), [*keys, "piece"], "left").groupBy(*keys, "word").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").drop("n")
-    return rarest.join(made.hint("merge"), [*keys, "piece"]).where(F.contains("token", F.col("word"))).select(*keys, "word", "token")
+    listed = wanted.select(*keys, "word", F.explode(F.when(F.length("word") < most, F.array("word")).otherwise(F.array_distinct(some))).alias("piece"))
+    listed = written(listed, "pieces")
+    sizes = [r[0] for r in listed.select(F.length("piece")).distinct().collect()]  # as many as ``most`` at the most
+    if not sizes:
+        return wanted.limit(0).join(tokens.limit(0), list(keys)).select(*keys, "word", "token") if keys else wanted.limit(0).crossJoin(tokens.limit(0)).select("word", "token")
+    every = tokens.select(*keys, "token", F.explode(F.array_distinct(F.concat(*(_pieces("token", n) for n in sizes)))).alias("piece"))
+    made = written(every.join(written(listed.select(*keys, "piece").distinct(), "asked-pieces"), [*keys, "piece"], "left_semi"), "made")
+    often = made.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
+    rarest = listed.join(often, [*keys, "piece"], "left").groupBy(*keys, "word").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), F.col("piece"))).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").drop("n")
+    return rarest.join(made, [*keys, "piece"]).where(F.contains("token", F.col("word"))).select(*keys, "word", "token")
 
 
 def holding(wanted: DataFrame, texts: DataFrame, least: int = 1) -> DataFrame:
@@ -115,15 +119,23 @@ def covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """``target_id, candidate_id``: the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
 
     ``targets`` has ``id, quote, words, need, whole``; repeats of a word count each time, and where ``whole``
-    is true the text must hold the quote itself. As in :func:`containing`, only a target's rarest words
-    are joined on; the rest is checked in the text.
+    is true the text must hold the quote itself. Targets without words match nothing.
+
+    A candidate may miss some words only. Of one pair of words more than that it holds both of one pair, so
+    a target's rarest words are joined on, each with a more frequent partner that the candidate's text
+    must hold too, and only then is the rest counted. A candidate's text is repeated for each of its words
+    that are joined on: candidates are meant to be quotes, not whole documents.
     """
-    listed = targets.select(F.col("id").alias("target_id"), "need", F.explode("words").alias("word"))
+    listed = targets.select(F.col("id").alias("target_id"), F.explode("words").alias("word"))
     held = written(holding(listed.select("word").distinct(), candidates), "held")
     often = held.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = listed.join(often.hint("merge"), "word", "left").groupBy("target_id", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word")))).alias("o"))
-    prefix = ordered.select("target_id", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.col("need") + 1).cast("int"))).alias("p")).where("p.n > 0").select("target_id", F.col("p.word").alias("word")).distinct()
-    pairs = prefix.join(held.hint("merge"), "word").select("target_id", F.col("id").alias("candidate_id")).distinct()
-    full = pairs.join(targets.withColumnRenamed("id", "target_id"), "target_id").join(candidates.select(F.col("id").alias("candidate_id"), "text"), "candidate_id")
+    ordered = listed.join(often.hint("merge"), "word", "left").groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word")))).alias("o"))
+    spare = (F.size("words") - F.col("need")).cast("int")  # as many words may be missing
+    rows = ordered.join(targets.withColumnRenamed("id", "target_id"), "target_id").where(spare >= 0)
+    group = F.transform(F.slice("o", F.lit(1), spare + 1), lambda x, i: F.struct(x["n"].alias("n"), x["word"].alias("word"), F.coalesce(F.get("o", 2 * spare + 1 - i)["word"], x["word"]).alias("partner")))
+    asked = rows.select("target_id", "quote", "words", "need", "whole", F.explode(group).alias("g")).where("g.n > 0").select("target_id", "quote", "words", "need", "whole", "g.word", "g.partner")
+    asked = written(asked, "asked")
+    postings = held.join(asked.select("word").distinct(), "word", "left_semi").join(candidates, "id").select(F.col("id").alias("candidate_id"), "word", "text").withColumnRenamed("word", "_word")
     enough = F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))) >= F.col("need")
-    return full.where(enough & (~F.col("whole") | F.contains("text", F.col("quote")))).select("target_id", "candidate_id")
+    meets = (F.col("word") == F.col("_word")) & F.contains("text", "partner") & enough & (~F.col("whole") | F.contains("text", F.col("quote")))
+    return asked.join(postings.hint("merge"), meets).select("target_id", "candidate_id").distinct()

@@ -1,8 +1,9 @@
 """Matching quotes to the texts they were taken from.
 
 The cascade is exact, then normalised, then ambiguous (five words or more of which over 80 % occur),
-else not found; the first occurrence counts. Texts are normalised once, before any join. Candidates come
-from equi-joins: the located section, or within the source the rarest inner word of the quote.
+else not found; the first occurrence counts. Texts are normalised once, before any join, and move once:
+to the quotes that are to be compared with them, which equi-joins find (the located section, or within
+the source a word that the quote and the section must have in common).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
 from claimloom.functions.parallel import spread
-from claimloom.functions.text import normalise, words
+from claimloom.functions.text import normalise, runs, words
+from claimloom.operators.containment import substrings
 
 #: Fixed value: the share of words above which a quote without a match is ambiguous, and the fewest words for it.
 SHARE, FEWEST = 0.8, 5
@@ -23,20 +25,20 @@ def word_share(quote_words: Column, lower_text: Column) -> Column:
     return F.try_divide(F.size(F.filter(quote_words, lambda w: F.contains(lower_text, F.lower(w)))), F.size(quote_words))
 
 
-def cascade(quote: str, text: str, norm_quote: str, norm_text: str) -> Column:
+def cascade(quote: str, text: str, norm_quote: str, norm_text: str, lower_text: str | None = None) -> Column:
     """``struct(status, start, end)``; offsets are in the text, or for 'normalised' in the normalised text.
 
-    NULL quotes and NULL texts are not found; an empty quote is found at 0.
+    NULL quotes and NULL texts are not found; an empty quote is found at 0. ``lower_text`` is the normalised
+    text in lower case, where it is at hand.
     """
-    at, nat = F.instr(F.col(text), F.col(quote)), F.instr(F.col(norm_text), F.col(norm_quote))
-    found = lambda status, p, q: F.struct(F.lit(status).alias("status"), (p - 1).alias("start"), (p - 1 + F.length(q)).alias("end"))
+    found = lambda status, t, q: F.struct(F.lit(status).alias("status"), (F.instr(F.col(t), F.col(q)) - 1).alias("start"), (F.instr(F.col(t), F.col(q)) - 1 + F.length(q)).alias("end"))
     none = lambda status: F.struct(F.lit(status).alias("status"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     w = words(norm_quote)
     return (
         F.when(F.length(quote) == 0, F.struct(F.lit("exact").alias("status"), F.lit(0).alias("start"), F.lit(0).alias("end")))
-        .when(at > 0, found("exact", at, F.col(quote)))
-        .when(nat > 0, found("normalised", nat, F.col(norm_quote)))
-        .when((F.size(w) >= FEWEST) & (word_share(w, F.lower(norm_text)) > SHARE), none("ambiguous"))
+        .when(F.contains(text, quote), found("exact", text, quote))
+        .when(F.contains(norm_text, norm_quote), found("normalised", norm_text, norm_quote))
+        .when((F.size(w) >= FEWEST) & (word_share(w, F.col(lower_text) if lower_text else F.lower(norm_text)) > SHARE), none("ambiguous"))
         .otherwise(none("not_found"))
     )
 
@@ -45,47 +47,53 @@ def with_normal(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, normalise(text))
 
 
+def readied(sections: DataFrame) -> DataFrame:
+    """Sections with ``nt``, the normalised text, written once."""
+    return sections if "nt" in sections.columns else written(with_normal(spread(sections), "text", "nt"), "normal")
+
+
+def asking(claims: DataFrame) -> DataFrame:
+    """``claim_id, source_id, source_quote, nq`` of claims, written once."""
+    return claims if "nq" in claims.columns else written(with_normal(spread(claims.select("claim_id", "source_id", "source_quote")), "source_quote", "nq"), "quotes")
+
+
 def located(claims: DataFrame, locators: DataFrame, sections: DataFrame) -> DataFrame:
     """``claim_id, source_id, section_id, page, status, start, end`` of each claim against its located section.
 
     Claims without a locator, a section or a text are not found there. Inputs hold each record once.
     """
-    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq")
-    s = with_normal(sections.select("section_id", "text"), "text", "nt")
-    at = locators.select("claim_id", "section_id", "page")
-    rows = c.join(at, "claim_id", "left").join(s, "section_id", "left").withColumn("m", cascade("source_quote", "text", "nq", "nt"))
+    c, s = asking(claims), readied(sections.select("section_id", *(x for x in ("text", "nt") if x in sections.columns)))
+    at = c.join(locators.select("claim_id", "section_id", "page"), "claim_id", "left")
+    rows = at.join(s.select("section_id", "text", "nt", F.lower("nt").alias("lt")), "section_id", "left").withColumn("m", cascade("source_quote", "text", "nq", "nt", "lt"))
     return rows.select("claim_id", "source_id", "section_id", "page", "m.status", "m.start", "m.end")
 
 
-def _pieces(x: str) -> Column:
-    """Runs of Han characters, and runs of others without blanks."""
-    return F.regexp_extract_all(x, F.lit(r"\p{IsHan}+|[^\p{IsHan} ]+"), F.lit(0))
-
-
 def hits_in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
     """``claim_id, section_id, sequence_number, kind``: all sections of its source that have the quote, exactly (0) or normalised (1).
 
     A quote that occurs has all its inner words (those bounded within the quote, by blanks or a change
-    to or from Han characters) as words of the section, so the rarest of them is the join key, together
-    with the source. Quotes of fewer than three words are compared with all sections of their source.
+    to or from Chinese characters) as words of the section, so the rarest of them is the join key, together
+    with the source. A quote of one or two words has none; its longest word is then part of a word of
+    the section, and is looked for among the distinct words of the source.
     """
-    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").where("nq <> ''").withColumn("w", _pieces("nq"))
-    inner = c.withColumn("inner", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)))
-    # Texts are normalised once and kept, as they are read for their words and for the comparison.
-    s = written(with_normal(spread(sections.select("source_id", "section_id", "sequence_number", "text")), "text", "nt"), "normal")
-    listed = s.select("source_id", "section_id", F.explode(F.array_distinct(_pieces("nt"))).alias("word"))
+    c = asking(claims).where("nq <> ''")
+    w = c.select("claim_id", "source_id", runs("nq").alias("w"))
+    inner = written(w.select("claim_id", "source_id", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)).alias("inner"), F.array_max(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"].alias("longest")), "inner")
+    s = readied(sections)
+    listed = written(s.select("source_id", "section_id", runs("nt").alias("w")).select("source_id", "section_id", F.explode(F.array_distinct("w")).alias("word")), "words")
+    asked = inner.where("inner IS NOT NULL").select("claim_id", "source_id", F.explode("inner").alias("word"))
     often = listed.groupBy("source_id", "word").agg(F.count("*").alias("n"))
-    rarest = (
-        inner.where("inner IS NOT NULL")
-        .select("claim_id", "source_id", F.explode("inner").alias("word"))
-        .join(often, ["source_id", "word"], "left")
-        .groupBy("claim_id", "source_id")
-        .agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-        .where("n > 0")
-    )
+    # The words of one quote are few: their least is taken of a list, without a sort of all rows.
+    least = F.array_min(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))))
+    rarest = asked.join(often, ["source_id", "word"], "left").groupBy("claim_id", "source_id").agg(least.alias("x")).where("x.n > 0").select("claim_id", "source_id", "x.word")
     pairs = rarest.join(listed, ["source_id", "word"]).select("claim_id", "section_id")
-    short = inner.where("inner IS NULL").select("claim_id", "source_id").join(s.select("source_id", "section_id"), "source_id").select("claim_id", "section_id")
-    tried = pairs.unionByName(short).join(c.select("claim_id", "source_quote", "nq"), "claim_id").join(s.select("section_id", "sequence_number", "text", "nt"), "section_id")
+    short = inner.where("inner IS NULL AND longest IS NOT NULL AND source_id IS NOT NULL").select("claim_id", "source_id", F.col("longest").alias("word"))
+    if not short.isEmpty():
+        there = listed.join(short.select("source_id").distinct(), "source_id", "left_semi")
+        parts = substrings(short.select("source_id", "word").distinct(), there.select("source_id", F.col("word").alias("token")).distinct(), ("source_id",))
+        among = parts.join(there.withColumnRenamed("word", "token"), ["source_id", "token"]).select("source_id", "word", "section_id").distinct()
+        pairs = pairs.unionByName(short.join(among, ["source_id", "word"]).select("claim_id", "section_id"))
+    tried = pairs.join(c.select("claim_id", "source_quote", "nq"), "claim_id").join(s.select("section_id", "sequence_number", "text", "nt"), "section_id")
     kind = F.when(F.contains("text", "source_quote"), 0).when(F.contains("nt", "nq"), 1)
     return tried.select("claim_id", "section_id", "sequence_number", kind.alias("kind")).where("kind IS NOT NULL")
 
@@ -99,12 +107,17 @@ def in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
 def partly_in_source(claims: DataFrame, sections: DataFrame) -> DataFrame:
     """``claim_id`` of quotes of five words or more, over 80 % of which stand somewhere in their source.
 
-    For claims without another match: each is compared with all sections of its source. A word has no
-    white space, so it never stands across two sections.
+    For claims without another match. A word has no white space, so it stands in its source exactly if it
+    is one of the source's distinct tokens, or a part of one; repeats of a word count each time.
     """
-    c = with_normal(claims.select("claim_id", "source_id", "source_quote"), "source_quote", "nq").select("claim_id", "source_id", F.transform(words("nq"), F.lower).alias("w")).where(F.size("w") >= FEWEST)
-    s = with_normal(sections.select("source_id", "text"), "text", "nt").select("source_id", F.lower("nt").alias("t"))
-    found = c.join(s, "source_id").select("claim_id", F.explode(F.filter(F.array_distinct("w"), lambda w: F.contains(F.col("t"), w))).alias("word")).distinct()
-    there = found.groupBy("claim_id").agg(F.collect_list("word").alias("there"))
-    share = F.size(F.filter("w", lambda w: F.array_contains("there", w))) / F.size("w")
-    return c.join(there, "claim_id").where(share > SHARE).select("claim_id")
+    c = asking(claims).select("claim_id", "source_id", F.transform(words("nq"), F.lower).alias("w")).where((F.size("w") >= FEWEST) & F.col("source_id").isNotNull())
+    wanted = c.select("source_id", F.explode("w").alias("word")).distinct()
+    s = readied(sections).join(c.select("source_id").distinct(), "source_id", "left_semi")
+    tokens = written(s.select("source_id", F.explode(F.array_distinct(F.split(F.lower("nt"), " "))).alias("token")).where("token <> ''").distinct(), "tokens")
+    whole = F.col("token").isNotNull().alias("found")
+    looked = written(wanted.join(tokens.withColumn("word", F.col("token")), ["source_id", "word"], "left").select("source_id", "word", whole), "looked")
+    rest = looked.where("NOT found").select("source_id", "word")
+    parts = substrings(rest, tokens, ("source_id",)).select("source_id", "word").distinct()
+    there = looked.where("found").select("source_id", "word").unionByName(parts)
+    n = c.select("claim_id", "source_id", F.size("w").alias("size"), F.explode("w").alias("word")).join(there, ["source_id", "word"]).groupBy("claim_id", "size").agg(F.count("*").alias("n"))
+    return n.where(F.col("n") / F.col("size") > SHARE).select("claim_id")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import deliveries, orphans
+from claimloom.operators import deliveries, orphans, ranges
 from claimloom.operators.deliveries import once
 from claimloom.plans import sqltext as Q
 from claimloom.sources.tables import table
@@ -63,12 +63,12 @@ def join3_review_star(spark: SparkSession, d: str) -> DataFrame:
 def join5_page_range(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-5 by range: locators with the sections of their claim's source that cover the page.
 
-    Ranges are a few pages long, so they are made single pages and joined by equality.
+    Sections without both ends cover no page; ranges may be of any length.
     """
     c = records(spark, d, "source_claims").select("claim_id", "source_id")
     at = records(spark, d, "claim_locators").select("locator_id", "claim_id", "page").join(c, "claim_id")
-    sec = records(spark, d, "source_sections").where("page_start <= page_end").select("source_id", "section_id", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    return at.join(sec, ["source_id", "page"]).select("locator_id", "section_id", "page")
+    sec = records(spark, d, "source_sections").select("source_id", "section_id", "page_start", "page_end")
+    return ranges.in_ranges(at, sec, ["source_id"], "page", "page_start", "page_end").select("locator_id", "section_id", "page")
 
 
 def join6_trace(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,8 @@ SQL = {
     "join12_violations": " UNION ALL ".join(f"SELECT '{r.table}' AS table_name, '{r.field}' AS field_name, count(DISTINCT {r.record_id}) AS n_records FROM {r.table} WHERE {_key(r.field)} NOT IN (SELECT {_key(r.parent_key)} FROM {r.parent} WHERE {r.parent_key} IS NOT NULL) HAVING count(*) > 0" for r in ALL_REFERENCES),
     "join13_batch_context": f"""SELECT CASE WHEN b.source_id IS NULL THEN 'batch unknown' WHEN c.source_id IS NULL THEN 'claim unknown' WHEN b.source_id <> c.source_id THEN 'sources differ' ELSE 'agrees' END AS problem, count(*) AS n_rows
         FROM {_t('review_batch_rows')} w LEFT JOIN {_t('review_batches')} b ON b.review_batch_id = w.review_batch_id LEFT JOIN {_t('source_claims')} c ON c.claim_id = w.claim_id GROUP BY 1""",
-    "join16_labels": f"SELECT locator_id, label, contains(lower(s.text), lower(label)) AS named FROM (SELECT locator_id, section_id, unnest([figure_label, table_label]) AS label FROM {_t('claim_locators')}) l JOIN {_t('source_sections')} s USING (section_id) WHERE label IS NOT NULL",
+    "join16_labels": f"""SELECT locator_id, label, EXISTS (SELECT 1 FROM {_t('source_sections')} s WHERE s.source_id = x.source_id AND contains(lower(s.text), lower(x.label))) AS named
+        FROM (SELECT locator_id, source_id, unnest([figure_label, table_label]) AS label FROM {_t('claim_locators')} LEFT JOIN (SELECT claim_id, source_id FROM {_t('source_claims')}) USING (claim_id)) x WHERE label IS NOT NULL""",
     "set1_tasks": "SELECT source_id, task_id FROM source_claims WHERE task_id IS NOT NULL UNION SELECT source_id, task_id FROM processing_runs WHERE task_id IS NOT NULL",
     "set2_reviewed": "SELECT claim_id FROM review_batch_rows UNION SELECT claim_id FROM claim_revisions",
     "set3_differences": "WITH s AS (SELECT DISTINCT source_id FROM source_sections WHERE source_id IS NOT NULL), c AS (SELECT DISTINCT source_id FROM source_claims WHERE source_id IS NOT NULL) SELECT source_id, CASE WHEN s.source_id IS NULL THEN 'claims' WHEN c.source_id IS NULL THEN 'sections' ELSE 'both' END AS side FROM s FULL JOIN c USING (source_id)",

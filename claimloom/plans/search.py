@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import written
 from claimloom.operators import evaluation, search
 from claimloom.plans import sqltext as Q
 from claimloom.plans.joins import _t, records
@@ -60,23 +61,30 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def evl1_best_match(spark: SparkSession, d: str) -> DataFrame:
     """EVL-1, JOIN-15: the first extracted claim that covers each annotation."""
-    return evaluation.best_matches(_annotations(spark, d), _extracted(spark, d))
+    return evaluation.best_matches(*_both(spark, d))
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Annotations and extracted claims, each made once."""
+    return written(_annotations(spark, d), "annotations"), written(_extracted(spark, d), "extracted")
 
 
 def evl2_metrics(spark: SparkSession, d: str) -> DataFrame:
     """EVL-2, AGG-9, MTH-2: what was expected and met."""
-    a, c = _annotations(spark, d), _extracted(spark, d)
+    a, c = _both(spark, d)
     return evaluation.metrics(a, c, evaluation.best_matches(a, c))
 
 
 def evl3_unsupported(spark: SparkSession, d: str) -> DataFrame:
     """EVL-3: extracted claims whose quote is no positive annotation's and holds no negative one's."""
-    return evaluation.unsupported(_annotations(spark, d), _extracted(spark, d)).agg(F.count("*").alias("n"))
+    return evaluation.unsupported(*_both(spark, d)).agg(F.count("*").alias("n"))
 
 
 def evl4_gate(spark: SparkSession, d: str) -> DataFrame:
     """EVL-4: each metric against its threshold."""
-    return evaluation.gate(evl2_metrics(spark, d), evl3_unsupported(spark, d))
+    a, c = _both(spark, d)
+    counts = evaluation.metrics(a, c, written(evaluation.best_matches(a, c), "matches"))
+    return evaluation.gate(counts, evaluation.unsupported(a, c).agg(F.count("*").alias("n")))
 
 
 QUERIES = {f.__name__: f for f in (fts2_term_stats, fts5_bm25, fts6_results, fts8_fingerprint, evl1_best_match, evl2_metrics, evl3_unsupported, evl4_gate)}
@@ -94,20 +102,21 @@ def _bm25(query: str) -> str:
 
 
 def _words(x: str, more: int) -> str:
-    return f"list_distinct(list_filter(string_split({Q.collapse(Q.strip(f'lower({x})'))}, ' '), lambda w: length(w) > {more}))"
+    return f"list_filter(string_split({Q.collapse(Q.strip(f'lower({x})'))}, ' '), lambda w: length(w) > {more})"
 
 
-_EVL = f"""WITH a AS (SELECT claim_id AS annotation_id, source_quote, claim_type, author_hedging, scope_description, record_review_status = 'pending' AS must_extract, {_words('source_quote', 2)} AS w FROM {_t('source_claims')} WHERE record_review_status IN ('pending', 'rejected')),
+_EVL = f"""WITH a AS (SELECT claim_id AS annotation_id, source_quote, claim_type, author_hedging, scope_description, record_review_status = 'pending' AS must_extract, {Q.strip('lower(source_quote)')} AS tq, {_words('source_quote', 2)} AS w FROM {_t('source_claims')} WHERE record_review_status IN ('pending', 'rejected')),
 p AS (SELECT claim_id, min(page) AS page FROM {_t('claim_locators')} GROUP BY 1),
-c AS (SELECT c.*, p.page, {_words('source_quote', 2)} AS w FROM {_t('source_claims')} c LEFT JOIN p USING (claim_id) WHERE record_review_status IN ('approved', 'approved_with_edits')),
-m AS (SELECT annotation_id, min(claim_id) AS claim_id FROM a, c WHERE len(a.w) > 0 AND len(list_intersect(a.w, c.w)) >= ceil(len(a.w) * 0.7 - 1e-9) GROUP BY 1),
+c AS (SELECT c.*, p.page, {Q.strip('lower(source_quote)')} AS sq FROM {_t('source_claims')} c LEFT JOIN p USING (claim_id) WHERE record_review_status IN ('approved', 'approved_with_edits')),
+m AS (SELECT annotation_id, min(claim_id) AS claim_id FROM a, c WHERE tq <> '' AND (contains(sq, tq) OR len(w) > 0 AND len(list_filter(w, lambda v: contains(sq, v))) / len(w) >= 0.7) GROUP BY 1),
 j AS (SELECT a.*, m.claim_id IS NOT NULL AS hit, c.source_quote AS cq, c.claim_type AS ct, c.page AS cp, c.author_hedging AS ch, c.faithful_paraphrase AS cf, c.scope_description AS cs FROM a LEFT JOIN m USING (annotation_id) LEFT JOIN c ON c.claim_id = m.claim_id),
 x AS (SELECT count(*) FILTER (WHERE must_extract) AS positives, count(*) FILTER (WHERE NOT must_extract) AS negatives, count(*) FILTER (WHERE must_extract AND hit) AS recall_n, count(*) FILTER (WHERE NOT must_extract AND hit) AS negative_n,
  count(*) FILTER (WHERE must_extract AND source_quote <> '') AS quote_d, count(*) FILTER (WHERE must_extract AND hit AND {Q.strip('cq')} <> '') AS quote_n, count(*) FILTER (WHERE must_extract AND hit AND cp IS NOT NULL) AS locator_n,
  count(*) FILTER (WHERE must_extract AND claim_type <> '') AS type_d, count(*) FILTER (WHERE must_extract AND hit AND ct = claim_type) AS type_n,
  count(*) FILTER (WHERE must_extract AND author_hedging <> '') AS hedging_d, count(*) FILTER (WHERE must_extract AND hit AND author_hedging <> '' AND (coalesce(ch, '') <> '' OR {' OR '.join(f"contains(lower(cf), '{h}')" for h in evaluation.HEDGES)})) AS hedging_n,
  count(*) FILTER (WHERE must_extract AND scope_description <> '') AS scope_d, count(*) FILTER (WHERE must_extract AND hit AND scope_description <> '' AND cs <> '') AS scope_n FROM j),
-u AS (SELECT count(*) AS n FROM c WHERE {Q.strip('source_quote')} <> '' AND {Q.strip('source_quote')} NOT IN (SELECT {Q.strip('source_quote')} FROM a WHERE must_extract)) """
+u AS (SELECT count(*) AS n FROM c WHERE {Q.strip('source_quote')} <> '' AND {Q.strip('source_quote')} NOT IN (SELECT {Q.strip('source_quote')} FROM a WHERE must_extract)
+  AND NOT EXISTS (SELECT 1 FROM a WHERE NOT must_extract AND {Q.strip('a.source_quote')} <> '' AND contains({Q.strip('c.source_quote')}, {Q.strip('a.source_quote')}))) """
 _GATE = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, CASE WHEN {d} = 0 THEN 100.0 ELSE round({n} * 100 / {d}, 1) END AS value, {evaluation.THRESHOLDS.get(m, 0)}.0 AS threshold FROM x"
     for m, n, d in (("recall", "recall_n", "positives"), ("type_accuracy", "type_n", "type_d"), ("hedging_preservation", "hedging_n", "hedging_d"), ("scope_preservation", "scope_n", "scope_d"), ("quote_match", "quote_n", "quote_d"), ("locator_completeness", "locator_n", "positives"), ("negative_extraction", "negative_n", "negatives"))

@@ -9,7 +9,7 @@ from claimloom.functions import text as T
 from claimloom.functions.durable import written
 from claimloom.functions.jsonclaims import parse_answers
 from claimloom.functions.parallel import spread
-from claimloom.operators import containment, providers, quotes, segments, validation
+from claimloom.operators import containment, providers, quotes, ranges, segments, validation
 from claimloom.operators.deliveries import once
 from claimloom.operators.sequences import numbering
 from claimloom.plans import sqltext as Q
@@ -100,24 +100,24 @@ def txt2_buckets(spark: SparkSession, d: str) -> DataFrame:
     A quote that is not in its located section is looked for in the whole source, whose first section that
     has it then gives the page. Errors of the locator are recorded and do not reject; sections stand for pages.
     """
-    c, s = _claims(spark, d), _sections(spark, d)
-    first = written(txt1_quote_match(spark, d).select("claim_id", F.col("status").alias("first")), "first")
-    at = once(table(spark, d, "claim_locators"), "locator_id").groupBy("claim_id").agg(F.min_by(F.struct("page", "figure_label", "table_label"), "locator_id").alias("l")).select("claim_id", F.col("l.page").alias("claimed"), "l.figure_label", "l.table_label")
-    rest = c.join(first.where("first NOT IN ('exact', 'normalised')").select("claim_id"), "claim_id")
+    c = written(quotes.with_normal(spread(_claims(spark, d)), "source_quote", "nq"), "claims")
+    s = quotes.readied(_sections(spark, d).select("section_id", "source_id", "sequence_number", "page_start", "page_end", "text"))
+    at = written(once(table(spark, d, "claim_locators"), "locator_id").groupBy("claim_id").agg(F.min_by(F.struct("section_id", "page", "figure_label", "table_label"), "locator_id").alias("l")).select("claim_id", "l.*"), "locators")
+    first = written(quotes.located(c, at, s).select("claim_id", F.col("status").alias("first")), "first")
+    rest = written(c.join(first.where("first NOT IN ('exact', 'normalised')").select("claim_id"), "claim_id"), "rest")
     hits = quotes.hits_in_source(rest, s).join(s.select("section_id", "page_start"), "section_id")
     anywhere = written(hits.groupBy("claim_id").agg(F.min("kind").alias("kind"), F.min_by("page_start", F.struct("sequence_number", "section_id")).alias("found_on")), "anywhere")
     partly = quotes.partly_in_source(rest.join(anywhere, "claim_id", "left_anti"), s).withColumn("partly", F.lit(True))
     status = F.when(F.col("first").isin("exact", "normalised"), F.col("first")).when(F.col("kind") == 0, "exact").when(F.col("kind") == 1, "normalised").when(F.col("partly"), "ambiguous").otherwise("not_found")
-    rows = c.join(first, "claim_id").join(anywhere, "claim_id", "left").join(partly, "claim_id", "left").join(at, "claim_id", "left").withColumn("match_status", status)
-    rows = rows.withColumn("page", F.when(F.col("claimed").isNotNull(), F.coalesce("found_on", "claimed")))
-    # Pages and labels of a source, each looked up once in its sections.
-    asked = rows.select("source_id", F.explode(F.array(*(F.struct(F.lit(w).alias("what"), x.alias("value")) for w, x in (("Page", F.col("page").cast("string")), ("label", F.lower("figure_label")), ("label", F.lower("table_label")))))).alias("x")).select("source_id", "x.*").where("value <> ''").distinct()
-    there = F.when(F.col("what") == "Page", F.col("value").try_cast("int").between(F.col("page_start"), F.coalesce("page_end", "page_start"))).otherwise(F.contains(F.lower("text"), F.col("value")))
-    known = asked.join(s.select("source_id", "page_start", "page_end", "text"), "source_id").where(there).groupBy("source_id").agg(F.collect_set(F.struct("what", "value")).alias("known"))
-    rows = rows.join(known, "source_id", "left")
-    missing = lambda what, x: (x != "") & ~F.coalesce(F.array_contains("known", F.struct(F.lit(what).alias("what"), x.alias("value"))), F.lit(False))
-    wrong = [F.when(missing("Page", F.col("page").cast("string")), F.concat(F.lit("Page "), "page", F.lit(" does not exist")))]
-    wrong += [F.when(missing("label", F.lower(f)), F.concat(F.lit(f"{w} '"), f, F.lit("' not in source"))) for w, f in (("Figure", "figure_label"), ("Table", "table_label"))]
+    placed = at.select("claim_id", F.col("page").alias("claimed"), "figure_label", "table_label")
+    rows = c.join(first, "claim_id").join(anywhere, "claim_id", "left").join(partly, "claim_id", "left").join(placed, "claim_id", "left").withColumn("match_status", status)
+    rows = written(rows.withColumn("page", F.when(F.col("claimed").isNotNull(), F.coalesce("found_on", "claimed"))).drop("nq"), "matched")
+    pages, labels = _known_pages(rows, s), _known_labels(rows.select("source_id", F.explode(F.array("figure_label", "table_label")).alias("label")), s)
+    rows = rows.join(pages.withColumn("page_there", F.lit(True)), ["source_id", "page"], "left")
+    for f in ("figure_label", "table_label"):
+        rows = rows.withColumn("l", F.lower(f)).join(labels.withColumn(f"{f}_there", F.lit(True)), ["source_id", "l"], "left").drop("l")
+    wrong = [F.when(F.col("page").isNotNull() & F.col("page_there").isNull(), F.concat(F.lit("Page "), "page", F.lit(" does not exist")))]
+    wrong += [F.when((F.col(f) != "") & F.col(f"{f}_there").isNull(), F.concat(F.lit(f"{w} '"), f, F.lit("' not in source"))) for w, f in (("Figure", "figure_label"), ("Table", "table_label"))]
     rows = rows.select("claim_id", "match_status", "page", F.array_join(F.array_compact(F.array(*wrong)), "; ").alias("locator_errors"), validation.schema_errors().alias("schema"), validation.leaks([*validation.REQUIRED, "scope_description", "author_hedging"]).alias("leak"))
     found = F.col("match_status").isin("exact", "normalised")
     bucket = F.when(F.size("schema") > 0, "invalid_schema").when(~found | (F.size("leak") > 0), "failed_locator").otherwise("validated")
@@ -126,6 +126,22 @@ def txt2_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("claim_id", "match_status", bucket.alias("bucket"), confidence.alias("confidence"), errors.alias("errors"), "page", "locator_errors")
 
 
+def _known_pages(asked: DataFrame, sections: DataFrame) -> DataFrame:
+    """``source_id, page``: the pages asked for that a section of the source covers; without an end it is one page."""
+    s = sections.select("source_id", "page_start", F.coalesce("page_end", "page_start").alias("page_last"))
+    return ranges.in_ranges(asked.select("source_id", "page").distinct(), s, ["source_id"], "page", "page_start", "page_last").select("source_id", "page").distinct()
+
+
+def _known_labels(asked: DataFrame, sections: DataFrame) -> DataFrame:
+    """``source_id, l``: the labels asked for, in lower case, that stand in a section of the source.
+
+    A source has few different labels; each is looked for once in each of its sections.
+    """
+    each = asked.select("source_id", F.lower("label").alias("l")).where("l <> ''").distinct()
+    texts = sections.select("source_id", F.lower("text").alias("t"))
+    return each.join(texts, "source_id").where(F.contains("t", F.col("l"))).select("source_id", "l").distinct()
+
+
 def txt3_sections(spark: SparkSession, d: str) -> DataFrame:
     """WIN-1, TXT-3: sections as islands of pages after a heading."""
     return segments.sections(_pages(spark, d).where("source_id IS NOT NULL AND page IS NOT NULL").groupBy("source_id", "page").agg(F.min("text").alias("text")))
@@ -227,18 +243,29 @@ SQL = {
     "str6_find_slice": "SELECT claim_id, at_ AS \"at\", CASE WHEN at_ >= 0 THEN substr(source_quote, at_ + 1, 20) END AS part FROM (SELECT DISTINCT claim_id, source_quote, author_hedging, instr(lower(source_quote), lower(author_hedging)) - 1 AS at_ FROM source_claims WHERE author_hedging <> '')",
     "str10_block_text": f"WITH {_BLOCKS} SELECT section_id, length(block) AS n_chars, sha256(block) AS block_sha256 FROM b",
     "str12_headings": f"SELECT kind, count(*) AS n_lines FROM (SELECT {_KIND} AS kind FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM {_S})) WHERE kind IS NOT NULL GROUP BY kind",
-    "str13_quote_context": f"""WITH r AS (SELECT locator_id, text, source_quote AS q, instr(text, source_quote) - 1 AS p FROM {_L} JOIN (SELECT claim_id, source_quote FROM {_C}) USING (claim_id) JOIN (SELECT section_id, text FROM {_S}) USING (section_id))
-        SELECT locator_id, {Q.strip('substr(text, greatest(p - 240, 0) + 1, p - greatest(p - 240, 0))')} AS before, {Q.strip('substr(text, p + length(q) + 1, 240)')} AS after FROM r WHERE p >= 0""",
+    "str13_quote_context": f"""WITH r AS (SELECT locator_id, text AS t, source_quote AS q FROM {_L} LEFT JOIN (SELECT claim_id, source_quote FROM {_C}) USING (claim_id) LEFT JOIN (SELECT section_id, text FROM {_S}) USING (section_id)),
+        e AS (SELECT *, instr(t, q) AS p, instr(regexp_replace(t, '{T.WS}+', '', 'g'), regexp_replace(q, '{T.WS}+', '', 'g')) AS free FROM r),
+        o AS (SELECT locator_id, t, q, CASE WHEN t <> '' AND q <> '' THEN CASE WHEN p > 0 THEN p - 1 WHEN free > 0 THEN
+          coalesce(list_filter(range(1, length(t) + 1), lambda i: NOT regexp_full_match(regexp_extract_all(t, '(?s).')[i], '{T.WS}'))[free] - 1, length(t)) END END AS p FROM e)
+        SELECT locator_id, coalesce({Q.strip('substr(t, greatest(p - 240, 0) + 1, p - greatest(p - 240, 0))')}, '') AS before, coalesce({Q.strip('substr(t, p + length(q) + 1, 240)')}, '') AS after FROM o""",
     "str14_html": "SELECT claim_id, '<tr>' || " + " || ".join("'<td>' || replace(replace(replace(replace(replace(coalesce(" + c + ", ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</td>'" for c in ("claim_id", "source_quote", "author_hedging")) + f" || '</tr>' AS html FROM {_C}",
     "str17_hedging": f"SELECT claim_type, count(*) AS n, count(*) FILTER (WHERE {' OR '.join(f'contains(lower(faithful_paraphrase), {w!r})' for w in ('may', 'might', 'could', 'suggest', 'potential', 'possibly', 'likely', 'appears', 'indicate'))}) AS n_hedged FROM {_C} GROUP BY claim_type",
     "txt1_quote_match": f"WITH {_LOCATED} SELECT claim_id, status, CAST(CASE status WHEN 'exact' THEN instr(t, q) - 1 WHEN 'normalised' THEN instr(nt, nq) - 1 ELSE -1 END AS INT) AS start, CAST(CASE status WHEN 'exact' THEN instr(t, q) - 1 + length(q) WHEN 'normalised' THEN instr(nt, nq) - 1 + length(nq) ELSE -1 END AS INT) AS \"end\" FROM x",
     "txt2_source_match": f"WITH {_ANYWHERE} SELECT claim_id, section_id, sequence_number, CASE kind WHEN 0 THEN 'exact' ELSE 'normalised' END AS status FROM aw",
-    "txt2_buckets": f"""WITH {_LOCATED}, {_ANYWHERE}, r AS (SELECT c.claim_id, CASE WHEN x.status IN ('exact', 'normalised') THEN x.status ELSE coalesce(CASE aw.kind WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' END, x.status) END AS match_status, l.page,
-        {_SCHEMA} AS se, {_LEAK} AS le FROM {_C} c JOIN x USING (claim_id) LEFT JOIN aw USING (claim_id) LEFT JOIN {_FIRST_LOCATOR} l USING (claim_id)),
-        f AS (SELECT *, match_status IN ('exact', 'normalised') AS found FROM r)
+    "txt2_buckets": f"""WITH {_LOCATED}, {_ANYWHERE},
+        fo AS (SELECT claim_id, page_start AS found_on FROM cn JOIN sn USING (source_id) JOIN (SELECT section_id, page_start FROM {_S}) USING (section_id) WHERE nq <> '' AND (contains(t, q) OR contains(nt, nq)) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sequence_number NULLS FIRST, section_id) = 1),
+        st AS (SELECT source_id, lower(string_agg(nt, chr(10))) AS lt FROM sn GROUP BY 1), fl AS (SELECT claim_id, page, figure_label, table_label FROM {_L} QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY locator_id) = 1),
+        k AS (SELECT c.claim_id, c.source_id, x.status IN ('exact', 'normalised') AS here, CASE WHEN here THEN x.status WHEN aw.kind = 0 THEN 'exact' WHEN aw.kind = 1 THEN 'normalised'
+          WHEN len(w.ws) >= 5 AND len(list_filter(w.ws, lambda v: contains(lt, lower(v)))) > 0.8 * len(w.ws) THEN 'ambiguous' ELSE 'not_found' END AS match_status,
+          CASE WHEN fl.page IS NOT NULL THEN CASE WHEN here THEN fl.page ELSE coalesce(found_on, fl.page) END END AS page, figure_label, table_label, {_SCHEMA} AS se, {_LEAK} AS le
+          FROM {_C} c JOIN x USING (claim_id) JOIN w USING (claim_id) LEFT JOIN aw USING (claim_id) LEFT JOIN fo USING (claim_id) LEFT JOIN st ON st.source_id = c.source_id LEFT JOIN fl ON fl.claim_id = c.claim_id),
+        f AS (SELECT *, match_status IN ('exact', 'normalised') AS found, list_filter([
+          CASE WHEN page IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_S} s WHERE s.source_id = k.source_id AND k.page BETWEEN s.page_start AND coalesce(s.page_end, s.page_start)) THEN 'Page ' || page || ' does not exist' END,
+          CASE WHEN figure_label <> '' AND NOT EXISTS (SELECT 1 FROM {_S} s WHERE s.source_id = k.source_id AND contains(lower(s.text), lower(k.figure_label))) THEN 'Figure ''' || figure_label || ''' not in source' END,
+          CASE WHEN table_label <> '' AND NOT EXISTS (SELECT 1 FROM {_S} s WHERE s.source_id = k.source_id AND contains(lower(s.text), lower(k.table_label))) THEN 'Table ''' || table_label || ''' not in source' END], lambda e: e IS NOT NULL) AS wrong FROM k)
         SELECT claim_id, match_status, CASE WHEN len(se) > 0 THEN 'invalid_schema' WHEN NOT found OR len(le) > 0 THEN 'failed_locator' ELSE 'validated' END AS bucket,
         CASE WHEN found AND page IS NOT NULL THEN CASE match_status WHEN 'exact' THEN 'high' ELSE 'medium' END WHEN found THEN 'low' END AS confidence,
-        array_to_string(CASE WHEN len(se) > 0 THEN se WHEN NOT found THEN ['Quote: ' || match_status] ELSE le END, '; ') AS errors FROM f""",
+        array_to_string(CASE WHEN len(se) > 0 THEN se WHEN NOT found THEN ['Quote: ' || match_status] ELSE le END, '; ') AS errors, page, array_to_string(wrong, '; ') AS locator_errors FROM f""",
     "txt3_sections": f"""WITH p AS (SELECT source_id, sequence_number AS page, min(text) AS text FROM {_S} WHERE source_id IS NOT NULL AND sequence_number IS NOT NULL GROUP BY 1, 2),
         l AS (SELECT source_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
         h AS (SELECT source_id, page, arg_max(kind, i) AS kind, arg_max(heading, i) AS heading FROM (SELECT source_id, page, i, {_KIND} AS kind, {Q.strip('line')} AS heading FROM l) WHERE kind IS NOT NULL GROUP BY 1, 2),
@@ -247,9 +274,10 @@ SQL = {
         SELECT g.source_id, CASE WHEN island = 0 THEN 'body' ELSE section_type END AS section_type, h.heading, page_start, page_end, n_pages, n_chars FROM g LEFT JOIN h ON h.source_id = g.source_id AND h.page = g.page_start AND island > 0
         WHERE island > 0 OR NOT EXISTS (SELECT 1 FROM h x WHERE x.source_id = g.source_id)""",
     "txt3_numbered": f"SELECT section_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(page_start, 2147483647), section_id) AS n FROM {_S} WHERE source_id IS NOT NULL",
-    "txt5_provider": f"""WITH k AS (SELECT claim_id, source_id, list_distinct(list_filter({_words('lower(source_quote)')}, lambda w: length(w) > 3)) AS ws FROM {_C}),
-        r AS (SELECT request_id, source_id, list_distinct(list_filter({_words('lower(section_text)')}, lambda w: length(w) > 3)) AS rs FROM {Q.once('extraction_requests', 'request_id')})
-        SELECT claim_id, min(request_id) AS request_id FROM k JOIN r USING (source_id) WHERE len(ws) >= 2 AND len(list_intersect(ws, rs)) >= ceil(len(ws) * 0.7 - 1e-9) GROUP BY 1""",
+    "txt5_provider": f"""WITH k AS (SELECT claim_id, list_filter({_words('lower(source_quote)')}, lambda w: length(w) > 3) AS ws FROM {_C}),
+        r AS (SELECT request_id, lower(section_text) AS t FROM {Q.once('extraction_requests', 'request_id')} WHERE length({Q.strip('section_text')}) >= 20),
+        n AS (SELECT claim_id, request_id, len(ws) AS size, len(list_filter(ws, lambda w: contains(t, w))) AS n FROM k, r WHERE len(ws) >= 2)
+        SELECT claim_id, request_id FROM n WHERE CASE WHEN size <= 5 THEN n >= size * 0.5 ELSE n >= greatest(size * 0.45, 3) END""",
     "txt8_quote_dedup": f"SELECT source_id, {Q.strip('source_quote')} AS quote, min(claim_id) AS claim_id, count(*) AS n_claims FROM {_C} WHERE {Q.strip('source_quote')} <> '' GROUP BY 1, 2",
     "txt9_failures": f"WITH {_BLOCKS}, r AS (SELECT source_id, count(*) AS n_runs, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM {_R} WHERE source_id IS NOT NULL GROUP BY 1) SELECT source_id, n_runs, n_failed, (SELECT count(*) FROM b WHERE b.source_id = r.source_id) AS n_blocks FROM r",
     "agg7_page_quality": f"SELECT source_id, count(*) AS n_pages, count(*) FILTER (WHERE length(text) > 50) AS n_with_text, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(floor(sum(length(text)) * 10 / count(*)) AS BIGINT) AS mean_chars_x10, count(*) FILTER (WHERE length(text) > 50) / count(*) < 0.3 AS is_low_text FROM {_S} GROUP BY source_id",

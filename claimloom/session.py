@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Few bytes can be much work (texts compared with texts): small partitions are kept apart while cores are free.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
