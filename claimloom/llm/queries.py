@@ -84,19 +84,19 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["table_name", "record_id", "piece_no"])
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     limits = table(spark, sf_dir, "size_limits").where("limit_name LIKE 'pack_%' AND unit = 'tokens'")
-    return pack.packing(_document_tokens(spark, sf_dir), limits), limits
+    return _document_tokens(spark, sf_dir), limits
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of every size."""
-    return _packed(spark, sf_dir)[0]
+    return pack.packing(*_sizes(spark, sf_dir))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are."""
-    return pack.fill(*_packed(spark, sf_dir))
+    """How full the containers are, beside those of best fit alone."""
+    return pack.fill(*_sizes(spark, sf_dir))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

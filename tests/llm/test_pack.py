@@ -42,19 +42,53 @@ def test_equal_and_empty(spark):
     assert list(check(run(spark, [0, 0, None], limits), [0, 0, None], limits)) == [0.0]
 
 
-def test_crossover_keeps_items_and_capacity():
+def whole(packing, sizes, capacity):
+    groups, rooms = packing
+    assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
+    assert rooms == [capacity - sum(sizes[i] for i in g) for g in groups] and min(rooms) >= 0 and all(groups)
+
+
+def test_crossover_and_mutation_keep_items_and_capacity():
     rng = np.random.default_rng(1)
-    sizes = np.sort(rng.integers(1, 400, 300))
-    a, b = (pack.evolve(sizes, 512, s, []) for s in (1, 2))
+    sizes = sorted(rng.integers(1, 400, 300).tolist())
+    a, b = (pack.greedy(sizes, 512, rng.choice(300, 100, replace=False).tolist()) for _ in range(2))
     for _ in range(20):
-        a = pack.crossover(a, b, sizes, 512, rng)
-        load = np.bincount(a, weights=sizes)
-        assert len(a) == 300 and load.max() <= 512 and load.min() > 0
+        a, b = pack.crossover(a, b, sizes, 512, rng), pack.mutated(a, sizes, 512, rng)
+        whole(a, sizes, 512)
+        whole(b, sizes, 512)
+
+
+def triplets(n):
+    """Sizes of which exactly three fill a container, so that n containers hold them all."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(380, 491, n)
+    b = rng.integers(250, (1000 - a) // 2 + 1)
+    return sorted(np.r_[a, b, 1000 - a - b].tolist())
+
+
+def test_evolution_gains_much_on_triplets():
+    sizes = triplets(600)
+    alone = len(pack.greedy(sizes, 1000)[0])
+    best = pack.evolve(sizes, 1000, 1, [])
+    whole(best, sizes, 1000)
+    assert alone > 690 and 600 <= len(best[0]) < 620
+
+
+def test_islands_gain_on_triplets(spark):
+    sizes = triplets(200)
+    counts = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
+    limits = spark.createDataFrame([("t", 1000)], "limit_name string, max_size int")
+    got = pack.fill(counts, limits).first()
+    assert 200 <= got.containers < 210 and got.best_fit_containers > 225 and got.n_tokens == 200_000
+    rows = pack.packing(counts, limits).collect()
+    assert len({r.container_id for r in rows}) == got.containers
+    list(check(rows, sizes, [("t", 1000)]))
 
 
-def test_evolution_does_not_lose():
-    sizes = np.sort(np.random.default_rng(3).integers(60, 400, 400))
-    greedy = np.full(400, -1, np.int32)
-    pack.best_fit(np.arange(400), sizes, greedy, {}, 512)
-    best = pack.evolve(sizes, 512, 5, [greedy])
-    assert pack.fitness(sizes, best, 512) >= pack.fitness(sizes, greedy, 512)
+def test_lower_bound():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, 101, rng.integers(1, 60))
+        bound = pack.least_containers(sizes, 100)
+        assert -(-int(sizes.sum()) // 100) <= bound <= len(pack.greedy(sizes.tolist(), 100)[0])
+    assert pack.least_containers(np.array([51] * 7), 100) == 7 and pack.least_containers(np.array([], int), 9) == 0
