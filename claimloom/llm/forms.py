@@ -4,7 +4,8 @@ The SQL maps compatibility forms, blanks, hyphens and look-alike letters by ``tr
 character) and ``replace`` (several), takes out invisible characters by a regular expression, and
 composes accents with ``nfc_normalize``. Of the large tables, which are built by rule from the Unicode
 data, each Arrow batch uses only the characters that occur in it. Letters that differ to the eye
-(superscripts, subscripts, fractions, circled ones) stay as they are, as do tabs, case and punctuation.
+(superscripts, subscripts, fractions, circled ones, a long s) stay as they are, as do tabs, case and the
+number of punctuation marks.
 """
 
 from __future__ import annotations
@@ -18,41 +19,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts that look like Latin ones, and those.
+#: Letters of other scripts (Cyrillic, Greek, Armenian, Cherokee, Lisu, Coptic, phonetic) and the Latin ones of the same case that they look like.
 LOOK_ALIKES = (
-    "АВЕЅІЈКМНОРСТХУаеорсухѕіјһԁԛԝѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον" "ϳɡ",
-    "ABESIJKMHOPCTXYaeopcyxsijhdqwv" "ABEZHIKMNOPTYXov" "jg",
+    ("АВЕЅІЈКМНОРСТХУӀҮԌԚԜѴаеорсухѕіјһӏԁԛԝѵ", "ABESIJKMHOPCTXYIYGQWVaeopcyxsijhldqwv"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹονϳϲ", "ABEZHIKMNOPTYXJCovjc"),
+    ("ՕՏՍԼօոսհցյզ", "OSULonuhgjq"),
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲥ", "HIKMNOPCTXoc"),
+    ("ɡ", "g"),
 )
 #: Hyphens that look like the ASCII one; the unassigned place of the italic h, which is elsewhere.
 OTHERS = {"‐": "-", "‑": "-", "﹣": "-", "\U0001d455": "h"}
-#: Kinds of decomposition whose look differs from that of what they decompose to.
+#: Kinds of decomposition whose look differs from that of what they decompose to, and a letter of that sort.
 DIFFERENT = ("<super>", "<sub>", "<fraction>", "<circle>", "<vertical>")
+UNLIKE = "ſ"
 #: What cannot be seen, as a regular expression class.
 INVISIBLE = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0001}-\x{e007f}\x{e0100}-\x{e01ef}]"
+#: Characters that one subquery replaces by several.
+STEP = 64
+
+
+@cache
+def _alike() -> dict[str, str]:
+    return {x: y for xs, ys in LOOK_ALIKES for x, y in zip(xs, ys, strict=True)} | OTHERS
+
+
+def _marks(s: str) -> int:
+    return sum(unicodedata.category(c).startswith("P") for c in s)
+
+
+def looks(c: str) -> str:
+    """What a character looks like, by one step of its decomposition after another.
+
+    It stays itself where a step changes the look (superscripts and the like, Greek symbol variants of
+    letters), the number of punctuation marks (an ellipsis is one mark), or adds blanks (spacing accents).
+    """
+    if c in _alike():
+        return _alike()[c]
+    if unicodedata.category(c) == "Zs":
+        return " "
+    *kind, parts = unicodedata.decomposition(c).rpartition("> ")
+    kind = kind[0] + ">" if kind[0] else ""
+    name = unicodedata.name(c, "")
+    if not parts or kind in DIFFERENT or c in UNLIKE or kind and name.startswith("GREEK") and name.endswith("SYMBOL"):
+        return c
+    out = unicodedata.normalize("NFC", "".join(looks(chr(int(p, 16))) for p in parts.split()))
+    return c if kind and _marks(out) != _marks(c) or " " in out else out
 
 
 @cache
 def mapping() -> dict[str, str]:
     """Every character that is written differently and what it looks like."""
-    alike = dict(zip(*LOOK_ALIKES, strict=True))
     found = {}
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
-        kind = unicodedata.decomposition(c)
-        if kind.startswith(DIFFERENT):
-            continue
-        if c in OTHERS:
-            to = OTHERS[c]
-        elif unicodedata.category(c) == "Zs" and c != " ":
-            to = " "
-        elif kind:
-            to = unicodedata.normalize("NFKD", c)
-            if len(to) > 1 and " " in to and not kind.startswith("<compat> 0028"):
-                continue  # spacing accents
-            to = unicodedata.normalize("NFC", "".join(alike.get(x, x) for x in to))
-        else:
-            to = alike.get(c, c)
-        if to != unicodedata.normalize("NFC", c):
-            found[c] = to
+        if unicodedata.decomposition(c) or c in _alike() or unicodedata.category(c) == "Zs":
+            to = looks(c)
+            if to != unicodedata.normalize("NFC", c):
+                found[c] = to
     return found
 
 
@@ -73,17 +97,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def form_sql(text: str, present: list[str]) -> str:
-    """The SQL expression of the form of ``text``, of whose mapped characters only ``present`` occur."""
+def form_sql(rows: str, present: list[str]) -> str:
+    """A query that adds ``form`` to ``rows`` with ``text``, of whose mapped characters only ``present`` occur.
+
+    Characters that become several are replaced some at a time, in one subquery after another, so that
+    expressions nest no deeper however many of them there are. Texts of plain ASCII can only differ from
+    their form in their line ends.
+    """
     table = mapping()
-    single = [c for c in present if len(table[c]) == 1]
-    mapped = f"translate({text}, {_quoted(''.join(single))}, {_quoted(''.join(table[c] for c in single))})" if single else text
-    for c in present:
-        if len(table[c]) > 1:
+    single, several = ([c for c in present if (len(table[c]) == 1) == one] for one in (True, False))
+    mapped = f"translate(text, {_quoted(''.join(single))}, {_quoted(''.join(table[c] for c in single))})" if single else "text"
+    query = f"SELECT *, CASE WHEN plain THEN text ELSE {mapped} END AS mapped FROM (SELECT *, regexp_full_match(text, '[\\x00-\\x7f]*') AS plain FROM {rows})"
+    for at in range(0, len(several), STEP):
+        mapped = "mapped"
+        for c in several[at : at + STEP]:
             mapped = f"replace({mapped}, {_quoted(c)}, {_quoted(table[c])})"
-    clean = f"regexp_replace(replace({mapped}, chr(13) || chr(10), chr(10)), {_quoted(INVISIBLE)}, '', 'g')"
-    # Texts of plain ASCII can only differ from their form in their line ends.
-    return f"CASE WHEN regexp_full_match({text}, '[\\x00-\\x7f]*') THEN replace({text}, chr(13) || chr(10), chr(10)) ELSE nfc_normalize({clean}) END"
+        query = f"SELECT * REPLACE (CASE WHEN plain THEN mapped ELSE {mapped} END AS mapped) FROM ({query})"
+    lines = "replace(mapped, chr(13) || chr(10), chr(10))"
+    form = f"CASE WHEN plain THEN {lines} ELSE nfc_normalize(regexp_replace({lines}, {_quoted(INVISIBLE)}, '', 'g')) END"
+    return f"SELECT * EXCLUDE (plain, mapped), {form} AS form FROM ({query})"
 
 
 def _run(keys: list[str], outputs: str):
@@ -98,7 +130,7 @@ def _run(keys: list[str], outputs: str):
                     continue
                 con.register("b", pa.Table.from_batches([b]))
                 present = [r[0] for r in con.sql(f"SELECT DISTINCT unnest(regexp_extract_all(text, {_quoted(mapped_class())})) AS c FROM b").fetchall()]
-                out = con.sql(f"SELECT {', '.join(keys)}, {outputs} FROM (SELECT *, {form_sql('text', sorted(present))} AS form FROM b)").to_arrow_table()
+                out = con.sql(f"SELECT {', '.join(keys)}, {outputs} FROM ({form_sql('b', sorted(present))})").to_arrow_table()
                 con.unregister("b")
                 yield from out.cast(pa.schema([(n, pa.string()) for n in out.column_names])).combine_chunks().to_batches()
 

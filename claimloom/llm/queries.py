@@ -139,7 +139,24 @@ r AS (SELECT 'source_claims' AS table_name, claim_id AS id, source_quote AS q, f
   UNION SELECT 'raw_claim_records', raw_id, c->>'$.source_quote', c->>'$.faithful_paraphrase' FROM raw),
 k AS (SELECT DISTINCT table_name, id, {_canonical("q")} AS q, {_canonical("f")} AS f FROM r) """
 
+def _form(x: str) -> str:
+    """The form by one table of all mapped characters, letter by letter where one becomes several."""
+    table = forms.mapping()
+    single, several = ([c for c in table if (len(table[c]) == 1) == one] for one in (True, False))
+    quoted = forms._quoted
+    t = f"translate({x}, {quoted(''.join(single))}, {quoted(''.join(table[c] for c in single))})"
+    letters = f"MAP([{', '.join(map(quoted, several))}], [{', '.join(quoted(table[c]) for c in several)}])"
+    each = f"array_to_string(list_transform(regexp_extract_all({t}, '(?s).'), lambda c: coalesce({letters}[c], c)), '')"
+    spelled = f"CASE WHEN regexp_matches({t}, {quoted('[' + ''.join(several) + ']')}) THEN {each} ELSE {t} END"
+    return f"nfc_normalize(regexp_replace(replace({spelled}, chr(13) || chr(10), chr(10)), {quoted(forms.INVISIBLE)}, '', 'g'))"
+
+
+_FORMS = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i} AS record_id, {c} AS text, {_form(c)} AS form FROM {t}" for t, i, c in FORMS) + "), d AS (SELECT DISTINCT * FROM f WHERE text IS NOT NULL) "
+
 SQL = {
+    "p5_forms": _FORMS + "SELECT table_name, record_id, form FROM f",
+    "p5_classes": _FORMS + "SELECT table_name, record_id, sha256(form) AS class_id FROM d QUALIFY min(text) OVER (PARTITION BY table_name, form) <> max(text) OVER (PARTITION BY table_name, form)",
+    "p5_found": _FORMS + "SELECT DISTINCT a.table_name, a.record_id AS record_a, b.record_id AS record_b FROM d a JOIN d b ON a.table_name = b.table_name AND a.form = b.form AND a.text <> b.text AND a.record_id < b.record_id",
     "p6_found": _COPIES + ", g AS (SELECT table_name, id, min(id) OVER (PARTITION BY table_name, q, f) AS a FROM k) SELECT table_name, a AS record_a, id AS record_b FROM g WHERE id <> a",
     "p6_records": _COPIES + "SELECT table_name, min(id) AS record_id, count(*) AS n_copies FROM k GROUP BY table_name, q, f",
     "p7_found": "WITH l AS (SELECT max_size FROM size_limits WHERE limit_name = 'claim_chunk') SELECT DISTINCT 'source_sections' AS table_name, section_id AS record_id FROM source_sections, l WHERE length(text) > max_size UNION SELECT DISTINCT 'extraction_requests', request_id FROM extraction_requests, l WHERE length(section_text) > max_size",

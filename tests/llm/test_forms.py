@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 from claimloom.llm import forms
@@ -8,8 +9,9 @@ SAME = [
     ("\u0397\u0391\u03a4", "HAT"), ("\xb5m", "\u03bcm"), ("\u212a", "K"), ("a\xb7b", "a\u0387b"), ("\u0435\u0308", "\u0451"), ("\u0451", "\xeb"),
     ("a\r\nb", "a\nb"), ("\u2f54", "\u6c34"), ("\uf97e", "\u91cf"), ("\U0001d44e\U0001d44f\U0001d455", "abh"), ("\ufb03", "ffi"), ("", ""),
     ("e\u200b\u0301", "\xe9"), ("\u212b", "A\u030a"),
+    ("\u33a1", "m²"), ("\u33a5", "m³"), ("\u2103", "°C"), ("\u2167", "VIII"), ("\ua4ee\u13aa\u054f", "AAS"), ("\U0001d6dd", "ϑ"),
 ]
-DIFFERENT = [("a b", "a  b"), ("a b", "a\nb"), ("a b", "a\tb"), ("A", "a"), ("a.", "a"), ("m²", "m2"), ("e", "é"), ("½", "1/2"), ("a–b", "a-b"), ("a,b", "a.b")]
+DIFFERENT = [("a b", "a  b"), ("a b", "a\nb"), ("a b", "a\tb"), ("A", "a"), ("a.", "a"), ("m²", "m2"), ("e", "é"), ("½", "1/2"), ("a–b", "a-b"), ("a,b", "a.b"), ("\u33a1", "m2"), ("\u017f", "s"), ("ϖ", "π"), ("ϑ", "θ"), ("…", "..."), ("⑴", "(1)"), ("‼", "!!"), ("´", " \u0301")]
 
 
 def run(spark, texts):
@@ -44,3 +46,17 @@ def test_found_pairs(spark):
     classes = forms.look_alike_classes(forms.form_keys(df, ["table_name", "record_id"], "text"))
     got = {tuple(r) for r in forms.look_alike_pairs(classes).collect()}
     assert got == {("t", a, b) for a, b in [("1", "2"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4")]}
+
+
+def test_every_mapped_character_in_one_batch(spark):
+    table = forms.mapping()
+    assert sum(len(to) > 1 for to in table.values()) > 10 * forms.STEP
+    unseen = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", forms.INVISIBLE))
+    every = sorted(table)
+    got = run(spark, every)
+    assert [got[i] for i in range(len(every))] == [unicodedata.normalize("NFC", unseen.sub("", table[c])) for c in every]
+
+
+def test_letters_keep_their_case():
+    for xs, ys in forms.LOOK_ALIKES:
+        assert len(xs) == len(ys) and all(unicodedata.category(x) in (unicodedata.category(y), "Lo") for x, y in zip(xs, ys))
