@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Spellings of languages, compared in lower case. Region and script suffixes are cut before.
 LANGUAGES = {"en": "en", "eng": "en", "english": "en", "zh": "zh", "cn": "zh", "chi": "zh", "zho": "zh", "chinese": "zh", "中文": "zh", "de": "de", "ger": "de", "deu": "de", "german": "de", "deutsch": "de", "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr"}
 
+#: Codes that say that the language is not known.
+UNKNOWN = ("und", "unk", "xx", "xxx")
+
 
 @cache
 def tokenizer(path: str):
@@ -45,9 +49,11 @@ def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     kept = [c for c in df.columns if c not in (text, "n_tokens")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encoding = tokenizer(path)
         for b in batches:
-            n = pa.array([len(encode(t)) if t else 0 for t in b.column(text).to_pylist()], pa.int64())
+            # One call for the whole batch, on this task's own core.
+            encoded = encoding.encode_ordinary_batch(pc.fill_null(b.column(text), "").to_pylist(), num_threads=1)
+            n = pa.array(map(len, encoded), pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), n], [*kept, "n_tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), "n_tokens bigint"])
@@ -55,10 +61,16 @@ def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
 
 
 def language(x: Column) -> Column:
-    """One code per language; missing, unknown and undetermined ones are 'unknown'."""
-    x = F.lower(strip(x))
+    """One code per language: a known spelling's, else the primary part of any well-formed code (two or
+    three letters, perhaps with further parts), in lower case.
+
+    'unknown' stands for missing and blank values, for the codes UNKNOWN, and for what is no code. Codes of
+    two and of three letters are one only where LANGUAGES says so.
+    """
+    x = F.translate(F.lower(strip(x)), "_", "-")
     names = F.create_map(*(F.lit(v) for pair in LANGUAGES.items() for v in pair))
-    return F.coalesce(F.try_element_at(names, x), F.try_element_at(names, F.regexp_extract(x, "^([a-z]+)[-_]", 1)), F.lit("unknown"))
+    primary = F.nullif(F.regexp_extract(x, "^([a-z]{2,3})(-[a-z0-9]{1,8})*$", 1), F.lit(""))
+    return F.coalesce(F.try_element_at(names, x), F.try_element_at(names, primary), F.when(~primary.isin(*UNKNOWN), primary), F.lit("unknown"))
 
 
 def token_cube(counts: DataFrame) -> DataFrame:
@@ -81,12 +93,13 @@ def stored_counts(sections: DataFrame, documents: DataFrame, path: str = TOKENIZ
     """``table_name, record_id, source, language, domain, n_tokens`` of every record, written once.
 
     Sections carry their source_id as source and no language or domain yet. A section delivered more
-    than once appears once (only its id and count are shuffled for that). Documents' repository names
+    than once appears once (only its id and count are shuffled for that); sections and documents without
+    an id are left out. Documents' repository names
     are compared without case and surrounding white space.
     """
-    s = token_counts(sections.select("section_id", "source_id", "text"), "text", path).groupBy("section_id").agg(F.max("source_id").alias("source"), F.max("n_tokens").alias("n_tokens"))
+    s = token_counts(sections.where("section_id IS NOT NULL").select("section_id", "source_id", "text"), "text", path).groupBy("section_id").agg(F.max("source_id").alias("source"), F.max("n_tokens").alias("n_tokens"))
     s = s.select(F.lit("source_sections").alias("table_name"), F.col("section_id").alias("record_id"), "source", F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("domain"), "n_tokens")
-    d = token_counts(documents.select("doc_id", "source", "lang", "domain", "text"), "text", path)
+    d = token_counts(documents.where("doc_id IS NOT NULL").select("doc_id", "source", "lang", "domain", "text"), "text", path)
     d = d.select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("record_id"), F.nullif(F.lower(strip("source")), F.lit("")).alias("source"), language(F.col("lang")).alias("language"), "domain", "n_tokens")
     return written(s.unionByName(d), "tokens")
 

@@ -19,6 +19,7 @@ def test_counts_are_exact(spark):
 
 def test_languages(spark):
     cases = {"EN": "en", "en-GB": "en", " English": "en", "zh_Hans": "zh", "中文": "zh", "CN": "zh", "de-AT": "de", "und": "unknown", "": "unknown", None: "unknown", "xx": "unknown", "fra": "fr"}
+    cases |= {"es": "es", "JA": "ja", "pt-BR": "pt", "sr_Latn_RS": "sr", "spa": "spa", "und-Latn": "unknown", "n/a": "unknown", "unknown": "unknown", "?": "unknown", "42": "unknown", "e": "unknown", " ko ": "ko"}
     df = spark.createDataFrame([(k,) for k in cases], "x string")
     assert {r[0]: r[1] for r in df.select("x", tokens.language(df.x)).collect()} == cases
 
