@@ -2,7 +2,8 @@
 
 Documents are counted by exact token length. Each source's budget is met by whole repeats of the
 source, then by the same fraction of every length, and the rest (a few times the longest length) by
-dynamic programming over the lengths still free (a bounded knapsack), all on counts. Documents are then picked per length by a seeded hash.
+dynamic programming over the lengths still free (a bounded knapsack), all on counts. Documents are then
+picked per length by a seeded hash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.durable import written
 from claimloom.functions.text import strip
 
-#: The rest that the dynamic programme fits, as a multiple of the longest length; a budget within it is fitted exactly.
+#: The rest that the dynamic programme fits at first, as a multiple of the longest length.
 SLACK = 32
 #: Documents of one source and length that one window sorts; larger groups are cut by hash.
 BUCKET = 50_000
@@ -30,30 +31,52 @@ def name(x: str):
 
 
 def fit(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length (distinct, positive, at most ``free``) to take so that their sum comes near to
-    the budget from below: as near as can be where the budget is within SLACK times the longest length."""
-    total = int((lengths * free).sum())
-    if budget >= total:
+    """How many of each length (distinct, positive, at most ``free``) to take so that their sum comes as near
+    to the budget from below as any choice can.
+
+    The same fraction of every length is taken first, and the rest is fitted exactly. Mostly that meets the
+    budget, or the greatest multiple of the lengths' common divisor within it, and then nothing can be
+    nearer; if not, a larger rest is fitted, in the end the whole budget. Memory grows with the rest, which
+    is large only where very few lengths are free.
+    """
+    if budget >= int((lengths * free).sum()):
         return free.copy()
+    unit = int(np.gcd.reduce(lengths))
+    sizes, most, slack = lengths // unit, budget // unit, SLACK
+    while True:
+        take = _in_proportion(sizes, free, most, slack)
+        take += _knapsack(sizes, free - take, most - int((sizes * take).sum()))
+        if int((sizes * take).sum()) == most or slack * int(sizes.max()) >= most:
+            return take
+        slack *= 8
+
+
+def _in_proportion(lengths: np.ndarray, free: np.ndarray, budget: int, slack: int) -> np.ndarray:
+    """The same fraction of every length, so that a few times the longest are left of the budget."""
     longest = int(lengths.max())
-    take = (free.astype(object) * max(0, budget - SLACK * longest) // total).astype(np.int64)
+    take = (free.astype(object) * max(0, budget - slack * longest) // int((lengths * free).sum())).astype(np.int64)
     rest = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths):  # one more of the long ones until the rest is a few of the longest
-        if rest <= SLACK * longest:
+        if rest <= slack * longest:
             break
-        more = min(int(free[i] - take[i]), (rest - SLACK // 2 * longest) // int(lengths[i]))
+        more = min(int(free[i] - take[i]), (rest - slack // 2 * longest) // int(lengths[i]))
         take[i] += more
         rest -= more * int(lengths[i])
-    # Bounded knapsack over sums up to the rest: the step that first made each sum, or -1.
-    reach = np.zeros(rest + 1, bool)
+    return take
+
+
+def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """A bounded knapsack over all sums up to the budget: the choice whose sum is nearest."""
+    take = np.zeros(len(lengths), np.int64)
+    reach = np.zeros(budget + 1, bool)
     reach[0] = True
-    made_by = np.full(rest + 1, -1, np.int32)
+    made_by = np.full(budget + 1, -1, np.int32)  # the step that first made each sum
     steps: list[tuple[int, int]] = []  # index of the length, and how many of it
     for i in np.argsort(lengths):
-        n, size, chunk = int(min(free[i] - take[i], rest // lengths[i])), int(lengths[i]), 1
-        while n > 0 and not reach[rest]:
+        n, size, chunk = int(min(free[i], budget // lengths[i])), int(lengths[i]), 1
+        while n > 0 and not reach[budget]:
             k = min(chunk, n)
-            new = reach[: rest + 1 - k * size] & ~reach[k * size :]
+            new = reach[: budget + 1 - k * size] & ~reach[k * size :]
             if new.any():
                 made_by[k * size :][new] = len(steps)
                 reach[k * size :] |= new
@@ -90,7 +113,8 @@ def mixture(counts: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     sums = histogram.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("total"), F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"))
     most = sums.agg(F.min(F.col("total") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
     budgets = histogram.withColumn("budget", F.floor(F.lit(float(most)) * F.col("target_share") + 1e-6))
-    plan = written(budgets.groupBy("source").applyInPandas(_fit_source, "source string, n_tokens bigint, n bigint, whole bigint, extra bigint"), "plan")
+    tasks = 4 * max(1, sums.count())  # as many as there are targets, a few fixed rows: not put together again
+    plan = written(budgets.repartition(tasks, "source").groupBy("source").applyInPandas(_fit_source, "source string, n_tokens bigint, n bigint, whole bigint, extra bigint"), "plan")
     # A hash of the seed puts the documents of each length in order; those of a large group lie in several buckets.
     order = F.xxhash64(F.lit(seed), "doc_id")
     placed = docs.select("doc_id", "source", "n_tokens", order.alias("o")).join(plan, ["source", "n_tokens"])

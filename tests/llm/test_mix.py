@@ -32,6 +32,17 @@ def test_fit_is_exact_where_many_lengths_are_free():
         assert int((lengths * mix.fit(lengths, free, budget)).sum()) == budget
 
 
+def test_fit_beyond_the_first_rest():
+    """Few lengths, of which the first rest would leave a gap, and lengths with a common divisor."""
+    for lengths, free in (([1000, 1501], [500, 1]), ([600, 1001, 1501], [400, 3, 2]), ([64, 96, 160], [5000, 3000, 700]), ([999, 1000], [300, 300])):
+        x, n = np.array(lengths), np.array(free)
+        reached = np.array([0])
+        for size, k in zip(lengths, free, strict=True):
+            reached = np.unique((reached[:, None] + size * np.arange(k + 1)).ravel())
+        for budget in (50_001, 123_457, 200_301, 299_999):
+            assert int((x * mix.fit(x, n, budget)).sum()) == reached[reached <= budget].max()
+
+
 def test_fit_of_very_long_lengths():
     lengths, free = np.array([1, 50_000, 300_000]), np.array([40_000, 4, 2])
     for budget in (89_123, 250_001, 419_999, 739_999):
