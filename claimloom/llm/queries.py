@@ -153,7 +153,16 @@ def _form(x: str) -> str:
 
 _FORMS = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i} AS record_id, {c} AS text, {_form(c)} AS form FROM {t}" for t, i, c in FORMS) + "), d AS (SELECT DISTINCT * FROM f WHERE text IS NOT NULL) "
 
+#: Documents, every window of so many characters by its hash, and the runs of windows that another document has.
+_SPANS = f"""WITH w AS (SELECT doc_id, i, md5_number(substr(text, i + 1, {spans.SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - {spans.SPAN - 1})) AS i FROM documents)),
+s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {spans.SPAN} THEN 0 ELSE 1 END AS new FROM s),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+f AS (SELECT doc_id, min(i) AS span_start, max(i) + {spans.SPAN} AS span_end FROM k GROUP BY doc_id, k) """
+
 SQL = {
+    "p10_found": _SPANS + "SELECT * FROM f",
+    "p10_shares": _SPANS + "SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(x, 0) AS BIGINT) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(x, 0) / length(text) ELSE 0.0 END AS shared_share FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS x FROM f GROUP BY 1) USING (doc_id)",
     "p5_forms": _FORMS + "SELECT table_name, record_id, form FROM f",
     "p5_classes": _FORMS + "SELECT table_name, record_id, sha256(form) AS class_id FROM d QUALIFY min(text) OVER (PARTITION BY table_name, form) <> max(text) OVER (PARTITION BY table_name, form)",
     "p5_found": _FORMS + "SELECT DISTINCT a.table_name, a.record_id AS record_a, b.record_id AS record_b FROM d a JOIN d b ON a.table_name = b.table_name AND a.form = b.form AND a.text <> b.text AND a.record_id < b.record_id",

@@ -4,12 +4,14 @@ Every stretch of SPAN code points has one anchor: of its 101 substrings of 100 c
 the least hash. Anchor and offset depend on the stretch alone, so equal stretches have equal anchors.
 A text becomes a list of seeds: an anchor with the run of consecutive stretches that it stands for.
 
-Anchors that only one document has are dropped first: documents' distinct anchors are counted with
-partial aggregation, eight bytes each, and seeds are joined with those that repeat. Seeds whose whole run of text is found in two
-documents are shared entirely (a partial aggregation, whatever the number of copies). The others lie at
-the ends of shared spans: documents are joined on their anchors, and the matches extended both ways by
-comparing the stretches at each offset from the anchor. No pairs of documents are made. Anchors with
-very many different runs are compared by one more aggregation instead of in one task.
+Texts are hashed once and their seeds written. Anchors that only one document has are dropped first:
+documents' distinct anchors are counted with partial aggregation, eight bytes each, and seeds are joined
+with those that repeat. Seeds whose whole run of text is found in two documents are shared entirely (a
+partial aggregation, whatever the number of copies). The other runs lie at the ends of shared spans: they
+are joined on their anchors, and the matches extended both ways by comparing the stretches at each offset
+from the anchor. No pairs of documents are made. Each different run is compared once, however often a text
+repeats it (a long rule of hyphens is one run); anchors with very many different runs are compared by one
+more aggregation instead of in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from claimloom.functions.durable import written
 from claimloom.functions.parallel import spread
 
 SPAN, ANCHOR = 200, 100
-#: Code points handled at once in a task, different runs of an anchor compared in one task, and seeds compared at once.
+#: Code points handled at once in a task, different runs of an anchor compared in one task, and runs compared at once.
 SLICE, MOST_OPEN, TOGETHER = 1 << 19, 1000, 20_000
 _U = np.uint64
 #: Odd multipliers of a 64-bit mixer and the base of the rolling hash, with its inverse modulo 2^64.
@@ -136,52 +138,53 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for ids, points, room, of, offset in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
             start, n, at, anchor, run = _seeds_of(points, room)
-            doc = np.array(ids, np.int64)[of[start]]
-            columns = [doc, offset[start].astype(np.int32), n.astype(np.int16), at.astype(np.int16), anchor.view(np.int64), run.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "start", "n", "at", "h", "run"])
+            order = np.lexsort((anchor, of[start]))
+            doc, h = of[start][order], anchor[order]
+            first = np.zeros(len(start), bool)
+            first[order] = np.r_[len(start) > 0, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(start)]
+            place = (offset[start].astype(np.int64) << 16) | (n << 9) | (at << 2) | first
+            columns = [np.array(ids, np.int64)[of[start]], place, anchor.view(np.int64), run.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "place", "h", "run"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text, each once (in a text longer than a slice, once a slice)."""
-    for b in batches:
-        for _, points, room, of, _ in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            start, _, _, anchor, _ = _seeds_of(points, room)
-            doc = of[start]
-            order = np.lexsort((anchor, doc))
-            doc, anchor = doc[order], anchor[order]
-            new = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[np.flatnonzero(np.r_[len(doc) > 0, new])].view(np.int64))], ["h"])
+def _unfolded() -> tuple[Column, Column, Column]:
+    """What a seed's place holds: where its run starts, its number of stretches, and the offset of its anchor."""
+    return F.shiftright("place", 16).cast("int"), F.shiftright("place", 9).bitwiseAND(127).cast("int"), F.shiftright("place", 2).bitwiseAND(127).cast("int")
 
 
-def repeated_anchors(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``h`` of the anchors that several texts have, and perhaps of some that a very long one has twice."""
-    return df.select(record_id, text).mapInArrow(_anchors, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+def seeds(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """``doc, place, h, run`` of every seed of every text of at least SPAN code points.
 
+    The last bit of ``place`` is set for the first seed of each anchor in a text (in a text longer than a
+    slice, in each slice).
+    """
+    return df.select(record_id, text).mapInArrow(_seeds, "doc bigint, place bigint, h bigint, run bigint")
 
-def seeds(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``doc, start, n, at, h, run`` of every seed of every text of at least SPAN code points."""
-    return df.select(record_id, text).mapInArrow(_seeds, "doc bigint, start int, n short, at short, h bigint, run bigint")
+
+def repeated_anchors(made: DataFrame) -> DataFrame:
+    """``h`` of the anchors that several texts have, and perhaps of some that a very long one has twice."""
+    return made.where(F.col("place").bitwiseAND(1) == 1).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with lists of their seeds in, the hashes of each seed's stretches out."""
-    names = ["doc", "start", "at", "h", "least", "most", "hot"]
+    names = ["h", "run", "at", "least", "most", "hot"]
     for b in batches:
         rows = {k: [] for k in names}
         hashes = []
-        for doc, text, wanted in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+        for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             for s in wanted:
                 part = text[s["start"] : s["start"] + s["n"] - 1 + SPAN]
                 h = _Hashes(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)).all(SPAN)
                 hashes.append(h.view(np.int64))
                 for k in names:
-                    rows[k].append(doc if k == "doc" else s[k])
-        kinds = [pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+                    rows[k].append(s[k])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([*(pa.array(rows[k], t) for k, t in zip(names, kinds, strict=True)), pa.array(hashes, pa.list_(pa.int64()))], [*names, "stretches"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds in order of their anchors in, the runs of their stretches that another document has out.
+    """Runs in order of their anchors in; of those that one document alone has, the stretches that another has too out.
 
     Some whole anchors are compared at a time, so memory does not grow with the partition.
     """
@@ -208,22 +211,20 @@ def _compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
     row = np.repeat(np.arange(len(sizes)), sizes)
     nth = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
     get = lambda c: t.column(c).to_numpy()
-    stretch = lists.flatten().to_numpy().view(np.uint64)
-    distance = (get("at")[row] - nth).astype(np.uint64)
-    key = _mix(stretch + _mix(get("h").view(np.uint64)[row] + distance * _M1))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    stretch = lists.flatten().to_numpy()
+    h, distance = get("h")[row], get("at")[row] - nth
+    # Equal are stretches of equal hash at equal distance from equal anchors: all three are compared.
+    order = np.lexsort((stretch, distance, h))
+    new = [x[order][1:] != x[order][:-1] for x in (h, distance, stretch)]
+    first = np.flatnonzero(np.r_[True, new[0] | new[1] | new[2]])
     least, most = np.minimum.reduceat(get("least")[row][order], first), np.maximum.reduceat(get("most")[row][order], first)
     shared = np.zeros(len(row), bool)
-    shared[order] = np.repeat(least != most, np.diff(np.r_[first, len(key)]))
-    at = np.flatnonzero(shared)
+    shared[order] = np.repeat(least != most, np.diff(np.r_[first, len(row)]))
+    at = np.flatnonzero(shared & (get("least") == get("most"))[row])
     if len(at):
         begin = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (at[1:] != at[:-1] + 1)])
-        length = np.diff(np.r_[begin, len(at)])
-        i = at[begin]
-        start = get("start")[row[i]].astype(np.int64) + nth[i]
-        yield pa.RecordBatch.from_arrays([pa.array(get("doc")[row[i]]), pa.array(start), pa.array(start + length - 1 + SPAN)], ["doc", "a", "b"])
+        i, length = at[begin], np.diff(np.r_[begin, len(at)])
+        yield pa.RecordBatch.from_arrays([pa.array(get("h")[row[i]]), pa.array(get("run")[row[i]]), pa.array(nth[i]), pa.array(nth[i] + length - 1 + SPAN)], ["h", "run", "a", "b"])
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -240,29 +241,29 @@ def shared_spans(df: DataFrame, record_id: str, text: str) -> DataFrame:
     least SPAN code points that also stands in another record.
 
     Ids are BIGINT and unique. Short, empty and NULL texts have no spans; repeats inside one record only
-    do not count. Equality is that of a 128-bit hash (anchor and run, or anchor, offset and stretch).
+    do not count. Equality is that of two 64-bit hashes, of the anchor and of the run or stretch.
     """
+    start, n, at = _unfolded()
     df = spread(df.where(F.col(record_id).isNotNull()).select(record_id, text))
+    made = written(seeds(df, record_id, text), "seeds")
     # Written first, so that its size is known: Spark broadcasts it below its threshold and shuffles the seeds beyond.
-    repeated = written(repeated_anchors(df, record_id, text), "repeated")
-    rows = written(seeds(df, record_id, text).join(repeated, "h", "left_semi"), "seeds")
-    runs = rows.groupBy("h", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "n", "at")).alias("one"))
-    runs = written(runs, "runs")
+    repeated = written(repeated_anchors(made), "repeated")
+    rows = written(made.join(repeated, "h", "left_semi"), "kept")
+    runs = written(rows.groupBy("h", "run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "place")).alias("one")), "runs")
     anchors = runs.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.count_if(F.col("least") == F.col("most")).alias("n_open"), F.count("*").alias("n_runs")).where("a < b").select("h", "n_open", "n_runs")
-    runs = runs.join(anchors, "h")
-    entire = rows.join(runs.where("least < most").select("h", "run"), ["h", "run"]).select("doc", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).cast("bigint").alias("b"))
-    hot = (F.col("n_runs") > MOST_OPEN).alias("hot")
-    ends = rows.join(runs.where("least = most").select("h", "run", "least", "most", "n_runs"), ["h", "run"]).select("doc", "start", "n", "at", "h", "least", "most", hot)
-    others = runs.where("least < most AND n_open > 0").select("one.doc", "one.start", "one.n", "one.at", "h", "least", "most", hot)
-    wanted = ends.unionByName(others).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "at", "h", "least", "most", "hot")).alias("wanted"))
-    texts = wanted.join(df.select(F.col(record_id).alias("doc"), F.col(text).alias("text")), "doc")
-    compared = written(texts.mapInArrow(_stretches, "doc bigint, start int, at short, h bigint, least bigint, most bigint, hot boolean, stretches array<bigint>"), "ends")
-    extended = compared.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc bigint, a bigint, b bigint")
-    each = compared.where("hot").select("doc", "start", "at", "h", "least", "most", F.posexplode("stretches").alias("i", "stretch")).withColumn("distance", F.col("at") - F.col("i"))
+    mixed = runs.join(anchors.where("n_open > 0"), "h").select("h", "run", "least", "most", (F.col("n_runs") > MOST_OPEN).alias("hot"), "one.doc", "one.place")
+    wanted = mixed.withColumns({"start": start, "n": n, "at": at}).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "at", "h", "run", "least", "most", "hot")).alias("wanted"))
+    texts = written(wanted, "wanted").join(df.select(F.col(record_id).alias("doc"), F.col(text).alias("text")), "doc")
+    compared = written(texts.mapInArrow(_stretches, "h bigint, run bigint, at int, least bigint, most bigint, hot boolean, stretches array<bigint>"), "ends")
+    extended = compared.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "h bigint, run bigint, a bigint, b bigint")
+    each = compared.where("hot").select("h", "run", "least", "most", F.posexplode("stretches").alias("i", "stretch"), "at").withColumn("distance", F.col("at") - F.col("i"))
     keys = ["h", "distance", "stretch"]
     common = each.groupBy(*keys).agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x < y").select(*keys)
-    crowded = each.join(common, keys).select("doc", (F.col("start") + F.col("i")).cast("bigint").alias("a"), (F.col("start") + F.col("i") + SPAN).cast("bigint").alias("b"))
-    return merged(entire.unionByName(extended).unionByName(crowded))
+    crowded = each.where("least = most").join(common, keys).select("h", "run", F.col("i").cast("bigint").alias("a"), (F.col("i") + SPAN).cast("bigint").alias("b"))
+    entire = runs.where("least < most").join(rows, ["h", "run"]).select("doc", start.cast("bigint").alias("a"), (start + n - 1 + SPAN).cast("bigint").alias("b"))
+    # What was found of a run holds wherever its one document repeats it.
+    parts = extended.unionByName(crowded).join(rows, ["h", "run"]).select("doc", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
+    return merged(entire.unionByName(parts))
 
 
 def shared_shares(df: DataFrame, record_id: str, text: str, spans: DataFrame) -> DataFrame:

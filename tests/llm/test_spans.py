@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from claimloom.llm import spans
+from tests.conftest import DATA
 
 
 def brute(docs):
@@ -84,7 +87,7 @@ def test_comparing_in_parts_changes_nothing(monkeypatch):
     rows = sorted((rng.randrange(12), rng.randrange(5), rng.randrange(3), [rng.randrange(4) for _ in range(rng.randint(1, 5))]) for _ in range(200))
     t = pa.table(
         {
-            "doc": pa.array([r[1] for r in rows], pa.int64()), "start": pa.array([i * 1000 for i in range(200)], pa.int32()), "at": pa.array([r[2] for r in rows], pa.int16()), "h": pa.array([r[0] for r in rows], pa.int64()),
+            "run": pa.array(range(200), pa.int64()), "at": pa.array([r[2] for r in rows], pa.int32()), "h": pa.array([r[0] for r in rows], pa.int64()),
             "least": pa.array([r[1] for r in rows], pa.int64()), "most": pa.array([r[1] for r in rows], pa.int64()), "hot": pa.array([False] * 200), "stretches": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
         }
     )
@@ -107,5 +110,23 @@ def test_without_broadcasts(spark):
 
 def test_repeated_anchors_are_those_of_several_texts(spark):
     docs = [(1, "ab" * 300), (2, corpus(6)[3][1]), (3, None), (4, "")]
-    anchors = lambda d: spans.repeated_anchors(spark.createDataFrame(d, "id bigint, text string"), "id", "text").count()
+    anchors = lambda d: spans.repeated_anchors(spans.seeds(spark.createDataFrame(d, "id bigint, text string"), "id", "text")).count()
     assert anchors(docs) == 0 and anchors([*docs, (5, "ab" * 200)]) > 0
+
+
+def test_long_runs_of_one_character(spark):
+    """A text of one character has a seed at every place, all of one run, which is compared once."""
+    rng = random.Random(8)
+    other = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    docs = [(1, "a" * 20_000), (2, other + "a" * 150 + other[::-1]), (3, "x" + "a" * 230 + "y"), (4, "-" * 5_000 + other), (5, "-" * 120 + "."), (6, "ab" * 4_000), (7, "b" + "ab" * 102 + "c")]
+    assert found(spark, docs) == brute(docs)
+    made = spans.seeds(spark.createDataFrame(docs, "id bigint, text string"), "id", "text")
+    assert made.where("doc = 1").count() == 19_801 and made.where("doc = 1").select("h", "run").distinct().count() == 1
+
+
+def test_given_documents(spark):
+    if not DATA.exists():
+        pytest.skip("no test data here")
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in df.collect()]
+    assert {tuple(r) for r in spans.shared_spans(df, "doc_id", "text").collect()} == brute(docs)
