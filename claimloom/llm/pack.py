@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from claimloom.functions.durable import written
 
 #: Items of a shard on average, islands of a shard, packings of an island, times that islands evolve, generations of each time at most, and without gain.
-SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS, PATIENCE = 2000, 2, 5, 3, 30, 3
-#: Items, alone or in twos, of a container that an exchange tries to replace; the share of containers with room that mutation empties.
-TRIED, EMPTIED = 6, 0.1
+SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS, PATIENCE = 2000, 2, 4, 3, 30, 4
+#: Rounds of an exchange, loose items that are tried in twos, and the share of containers with room that mutation empties.
+ROUNDS, PAIRED, EMPTIED = 3, 100, 0.1
 
 #: A packing: the items of each container, and the room left in each.
 Packing = tuple[list[list[int]], list[int]]
@@ -69,41 +69,61 @@ def best_fit(items: list[int], sizes: list[int], packing: Packing, capacity: int
 
 
 def exchange(loose: list[int], sizes: list[int], packing: Packing, rng: np.random.Generator) -> list[int]:
-    """Swap one or two items of each container with room for one or two loose ones that fill it best; returns the items then loose."""
+    """Swap one or two items of containers with room for one or two loose ones that fill them best; returns the items then loose.
+
+    In each round the best swap of every container is found at once, by search among the sums of the loose
+    items; a loose item goes to the container that gains most by it.
+    """
     groups, rooms = packing
-    order = sorted(loose, key=sizes.__getitem__)
-    free = np.array([sizes[i] for i in order], np.int64)
-    for b in rng.permutation(len(groups)).tolist():
-        if not len(order) or rooms[b] <= 0:
-            continue
-        group, room = groups[b], rooms[b]
-        sets = [(x,) for x in range(len(group))] + [(x, y) for x in range(len(group)) for y in range(x)]
-        if len(sets) > TRIED:
-            sets = [sets[k] for k in rng.choice(len(sets), TRIED, replace=False)]
-        gain, swap = 0, None
-        for out in sets:
-            base = sum(sizes[group[x]] for x in out)
-            one = int(np.searchsorted(free, base + room, "right")) - 1
-            if one >= 0 and free[one] - base > gain:
-                gain, swap = int(free[one]) - base, (out, (one,))
-            # The largest partner that each loose item may have, among those before it.
-            partner = np.minimum(np.searchsorted(free, base + room - free, "right"), np.arange(len(free))) - 1
-            both = np.where(partner >= 0, free + free[partner], 0)
-            k = int(both.argmax())
-            if both[k] - base > gain:
-                gain, swap = int(both[k]) - base, (out, (k, int(partner[k])))
-            if gain == room:
+    for _ in range(ROUNDS):
+        if not loose:
+            break
+        at, first, second = _sets(groups, rooms, rng)
+        size = np.array([*sizes, 0], np.int64)  # the last stands for no item
+        base = size[first] + size[second]
+        room = np.array(rooms, np.int64)[at]
+        free = np.array(loose)
+        i, j = np.triu_indices(min(len(free), PAIRED), 1)
+        some = rng.permutation(len(free))  # of many loose items only some are paired
+        one, two = np.r_[free, free[some[i]]], np.r_[np.full(len(free), len(sizes)), free[some[j]]]
+        order = np.argsort(size[one] + size[two], kind="stable")
+        one, two, sums = one[order], two[order], (size[one] + size[two])[order]
+        k = np.searchsorted(sums, base + room, "right") - 1
+        gain = np.where(k >= 0, sums[np.maximum(k, 0)] - base, 0)
+        changed, gone = set(), set()
+        for c in np.argsort(gain / np.maximum(room, 1) - rng.random(len(gain)) * 1e-6, kind="stable")[::-1].tolist():
+            if gain[c] <= 0:
                 break
-        if swap:
-            out, into = swap
-            freed = [group[x] for x in out]
-            groups[b] = [i for x, i in enumerate(group) if x not in out] + [order[k] for k in into]
-            rooms[b] = room - gain
-            order = [i for k, i in enumerate(order) if k not in into]
-            for i in freed:
-                insort(order, i, key=sizes.__getitem__)
-            free = np.array([sizes[i] for i in order], np.int64)
-    return order
+            b, into = int(at[c]), {int(one[k[c]]), int(two[k[c]])} - {len(sizes)}
+            if b in changed or into & gone:
+                continue
+            out = {int(first[c]), int(second[c])} - {len(sizes)}
+            groups[b] = [x for x in groups[b] if x not in out] + sorted(into)
+            rooms[b] -= int(gain[c])
+            changed.add(b)
+            gone |= into
+            loose = loose + sorted(out)
+        if not changed:
+            break
+        loose = [x for x in loose if x not in gone]
+    return loose
+
+
+def _sets(groups: list[list[int]], rooms: list[int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Containers with room and up to three of their items, alone (the second is then -1) or in twos."""
+    at, first, second = [], [], []
+    for b, room in enumerate(rooms):
+        if room > 0:
+            group = groups[b]
+            if len(group) > 3:
+                group = [group[x] for x in rng.integers(0, len(group), 3)]
+                group = list(dict.fromkeys(group))
+            for x, i in enumerate(group):
+                for j in (-1, *group[:x]):
+                    at.append(b)
+                    first.append(i)
+                    second.append(j)
+    return np.array(at, np.int64), np.array(first, np.int64), np.array(second, np.int64)
 
 
 def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
