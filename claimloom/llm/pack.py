@@ -97,7 +97,7 @@ def exchange(loose: list[int], sizes: list[int], packing: Packing, rng: np.rando
             b, into = int(at[c]), {int(one[k[c]]), int(two[k[c]])} - {len(sizes)}
             if b in changed or into & gone:
                 continue
-            out = {int(first[c]), int(second[c])} - {len(sizes)}
+            out = {int(first[c]), int(second[c])} - {-1}
             groups[b] = [x for x in groups[b] if x not in out] + sorted(into)
             rooms[b] -= int(gain[c])
             changed.add(b)
