@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.durable import shared_dir
+from claimloom.functions.durable import temporary
 from claimloom.functions.text import instant_us
 from claimloom.operators import history, merging, providers, quotes, search
 from claimloom.plans import sqltext as Q
@@ -54,7 +52,7 @@ def sta9_first_sections(spark: SparkSession, d: str) -> DataFrame:
 
 def int1_snapshot_check(spark: SparkSession, d: str) -> DataFrame:
     """SNK-9, SNK-12, INT-1, INT-2, INT-7: tables written as a version, read back and checked against the manifest."""
-    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    root = temporary(spark, "snapshots")
     columns = {"sources": ["source_id", "title", "language"], "source_claims": ["claim_id", "source_id", "source_quote", "claim_type"], "claim_locators": ["locator_id", "claim_id", "page"]}
     snapshots.write({t: records(spark, d, t).select(*c) for t, c in columns.items()}, root)
     stored = snapshots.manifest(snapshots.read(spark, root)).select("table_name", "n_rows", "digest_a")

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Few bytes can be much work (texts compared with texts): small partitions are kept apart while cores are free.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Ids that a stream has taken in lie on disk and are saved by what changed, not kept whole in memory.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.durable import shared_dir
+from claimloom.functions.durable import temporary
 
 
 def escaped(x: Column) -> Column:
@@ -52,7 +50,7 @@ def read_csv(spark, path: str, schema) -> DataFrame:
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
     """Write and read again, in a new folder of the shared one."""
-    path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession, kind)
     if kind == "csv":
         csv(df, path)
         return read_csv(df.sparkSession, path, df.schema)

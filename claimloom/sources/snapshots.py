@@ -1,7 +1,8 @@
 """Versioned snapshots of tables: written whole, listed in a manifest, checked against it.
 
-A version is a folder of Parquet tables with a manifest of row counts and digests; a pointer file names
-the current version and is replaced last, so a failed write leaves the version before in force.
+A version is a folder of Parquet tables with a manifest of row counts and digests. Pointer files name the
+current version: each new one has the next number and appears by a rename, and the greatest holds. So a
+write that fails at any point leaves the version before in force, and there is always a current one.
 """
 
 from __future__ import annotations
@@ -13,16 +14,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import file_system
 from claimloom.operators.digests import table_digest
 
 _MANIFEST = "table_name string, n_rows bigint, digest_a string, digest_b string"
 
 
-def _fs(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """``table_name, n_rows, digest_a, digest_b`` of each table."""
     return reduce(DataFrame.unionByName, [table_digest(df, name, df.columns) for name, df in tables.items()])
@@ -36,30 +33,37 @@ def write(tables: dict[str, DataFrame], root: str) -> str:
         df.write.parquet(f"{root}/{version}/{name}")
     stored = {name: spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}") for name, df in tables.items()}
     manifest(stored).coalesce(1).write.json(f"{root}/{version}/manifest")
-    fs, staged = _fs(spark, f"{root}/current.{version}")
+    fs, staged = file_system(spark, f"{root}/{version}/pointer")
     out = fs.create(staged, True)
     out.write(json.dumps({"version": version, "tables": sorted(tables)}).encode())
     out.close()
-    current = _fs(spark, f"{root}/current.json")[1]
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(staged, current)
+    number = max((n for n, _ in _pointers(spark, root)), default=0) + 1
+    # Where another writer took the number, the file that is there stays.
+    while fs.exists(target := file_system(spark, f"{root}/current-{number:012d}.json")[1]) or not fs.rename(staged, target):
+        number += 1
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    fs, place = file_system(spark, root)
+    names = (s.getPath().getName() for s in fs.listStatus(place) if s.isFile())
+    return sorted((int(n[8:-5]), n) for n in names if n.startswith("current-") and n.endswith(".json"))
+
+
 def current(spark: SparkSession, root: str) -> tuple[str, list[str]]:
-    row = spark.read.schema("version string, tables array<string>").option("multiLine", "true").json(f"{root}/current.json").first()
+    """The name and the tables of the version in force."""
+    row = spark.read.schema("version string, tables array<string>").option("multiLine", "true").json(f"{root}/{_pointers(spark, root)[-1][1]}").first()
     return row.version, row.tables
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
-    fs, place = _fs(spark, root)
+    fs, place = file_system(spark, root)
     return sorted(s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory())
 
 
 def read(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
     version = version or current(spark, root)[0]
-    fs, place = _fs(spark, f"{root}/{version}")
+    fs, place = file_system(spark, f"{root}/{version}")
     names = sorted(s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory())
     return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names if n != "manifest"}
 

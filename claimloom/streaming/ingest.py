@@ -1,61 +1,56 @@
-"""Streaming twins of ingestion: deliveries arrive as files and are taken in once each."""
+"""Streaming twins of ingestion: deliveries arrive as files and are taken in once each.
 
-from __future__ import annotations
+Every stream keeps its progress, its state and its rows in a folder that the caller names; run again
+with the same folder it goes on where it stopped, also after a failure in the middle of a batch.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.durable import shared_dir
-from claimloom.operators.deliveries import once
+from claimloom.functions.durable import file_system
 
 
 def deliveries(spark: SparkSession, path: str) -> DataFrame:
     """A stream over the Parquet files of a delivery log, a folder or a single file, with the schema that they have now."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+    fs, place = file_system(spark, path)
+    if fs.getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     return reader.parquet(path)
 
 
-def _run(stream: DataFrame, each, mode: str, at: str) -> None:
-    """Take in all that is there, batch by batch, and stop."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-
+def first_wins(stream: DataFrame, record_id: str, columns: list[str], folder: str, within: str | None = None) -> DataFrame:
+    """The table of records taken in: of each the first delivery that came; rows without an id are left out.
 
-def first_wins(stream: DataFrame, record_id: str, columns: list[str]) -> DataFrame:
-    """The table of records taken in: of each the first delivery, whatever batch later ones come in.
-
-    A batch is joined with what earlier batches wrote, so a repeated batch or record adds nothing. Batches
-    are told apart by folder; one that is run again after a failure overwrites its own.
+    Takes in all that is there and stops. The ids taken in are Spark's own state, partitioned by id, so a
+    batch costs what it holds and not what came before. With ``within`` (such as '30 days') an id is kept only
+    until event time has passed its first delivery by that: the state is bounded, deliveries later than that
+    are dropped, and so are rows without a time. Without it all ids are kept.
+    """
+    rows = stream.where(F.col(record_id).isNotNull())
+    if within:
+        rows = rows.where("received_at IS NOT NULL").withWatermark("received_at", within).dropDuplicatesWithinWatermark([record_id])
+    else:
+        rows = rows.dropDuplicates([record_id])
+    taken = rows.select(record_id, *columns)
+    taken.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(taken.schema).parquet(f"{folder}/rows")
+
+
+def daily_counts(stream: DataFrame, folder: str, delay: str = "3650 days") -> DataFrame:
+    """``day, n_rows``: deliveries per day of receipt, by event time.
+
+    Days older than the newest delivery by ``delay`` are closed: their state goes and later rows of them are
+    dropped. Each batch writes the days that it changed in place of what was written of them before, so a
+    batch that runs again changes nothing. Rows without a time are left out.
     """
-    spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = stream.select(record_id, *columns).schema
-
-    def take(batch: DataFrame, number: int) -> None:
-        rows = once(batch.select(record_id, *columns, "received_at"), record_id).select(record_id, *columns)
-        if number:
-            # The folders of earlier batches, named one by one: the own one may be left over from a failed try.
-            earlier = batch.sparkSession.read.schema(schema).parquet(*(f"{at}/rows/batch={n}" for n in range(number)))
-            rows = rows.join(earlier.select(record_id), record_id, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
-
-    _run(stream, take, "append", at)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows").select(record_id, *columns)
-
-
-def daily_counts(stream: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """``day, n_rows``: deliveries per day of receipt, by event time; rows later than ``delay`` are dropped."""
-    spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     counts = stream.where("received_at IS NOT NULL").withWatermark("received_at", delay).groupBy(F.window("received_at", "1 day").alias("w")).agg(F.count("*").alias("n_rows"))
+    days = counts.select("n_rows", F.date_format("w.start", "yyyy-MM-dd").alias("day"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n_rows").write.mode("overwrite").parquet(f"{at}/rows")
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/rows")
 
-    _run(counts, keep, "complete", at)
-    return spark.read.schema("day string, n_rows bigint").parquet(f"{at}/rows")
+    days.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(days.schema).parquet(f"{folder}/rows").select("day", "n_rows")

@@ -2,6 +2,10 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from claimloom.functions import durable
 from claimloom.operators import merging, providers, search
 from claimloom.sources import files, snapshots
 
@@ -30,6 +34,25 @@ def test_snapshots(spark, tmp_path):
     assert {(r.table_name, r.problem) for r in snapshots.check(spark, root).collect()} == {("t", None), ("u", "content")}
 
 
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a")], "k string, v string")
+    root = f"file://{tmp_path}/s"
+    first = snapshots.write({"t": df}, root)
+    broken = df.select(F.raise_error(F.lit("broken")).cast("string").alias("k"))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.write({"t": df, "u": broken}, root)
+    assert snapshots.current(spark, root) == (first, ["t"])
+    (tmp_path / "s" / "current-000000000002.json").write_text("")  # another writer took the number
+    third = snapshots.write({"t": df}, root)
+    assert snapshots.current(spark, root) == (third, ["t"])
+
+
+def test_temporary_files_go(spark):
+    before = durable.written(spark.range(3), "gone")
+    assert before.count() == 3 and durable.release(spark) > 0 and durable.release(spark) == 0
+    assert durable.written(spark.range(3), "there").count() == 3
+
+
 def test_file_rules(spark, tmp_path):
     for name, content in {"good.pdf": b"%PDF-1.4\n" + b"x" * 5000 + b"\n%%EOF\n", "cut.pdf": b"%PDF-1.4\n" + b"%%EOF" + b"x" * 5000, "text.pdf": b"hello", "large.pdf": b"%PDF-" + b"x" * 9000, "empty.pdf": b""}.items():
         (tmp_path / name).write_bytes(content)
