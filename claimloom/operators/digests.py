@@ -35,6 +35,23 @@ def table_digest(df: DataFrame, name: str, columns: list[str], key: list[str] |
     return df.select(row_hash(key or columns).alias("h")).agg(*multiset_digest(F.col("h"))).select(F.lit(name).alias("table_name"), "n_rows", "digest_a", "digest_b")
 
 
+def summary(df: DataFrame, name: str, key: str, columns: list[str]) -> DataFrame:
+    """``table_name, n_rows, id_digest, content_digest`` in one pass: digests of the keys alone and of the columns."""
+    rows = df.select(row_hash([key]).alias("i"), row_hash(columns).alias("h"))
+    n, ids, contents = F.count("*").alias("n_rows"), multiset_digest(F.col("i"))[1], multiset_digest(F.col("h"))
+    return rows.agg(n, ids.alias("id_digest"), F.concat_ws("-", contents[1], contents[2]).alias("content_digest")).select(F.lit(name).alias("table_name"), "n_rows", "id_digest", "content_digest")
+
+
+def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``table_name, difference`` of two sets of tables by their :func:`summary` rows; tables that agree give no row.
+
+    The first that holds: only in a, only in b, count, ids, content.
+    """
+    rows = a.select("table_name", F.struct("n_rows", "id_digest", "content_digest").alias("x")).join(b.select("table_name", F.struct("n_rows", "id_digest", "content_digest").alias("y")), "table_name", "full_outer")
+    kind = F.when(F.col("y").isNull(), "only in a").when(F.col("x").isNull(), "only in b").when(F.col("x.n_rows") != F.col("y.n_rows"), "count").when(F.col("x.id_digest") != F.col("y.id_digest"), "ids").when(F.col("x.content_digest") != F.col("y.content_digest"), "content")
+    return rows.select("table_name", kind.alias("difference")).where("difference IS NOT NULL")
+
+
 def differences(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """``key, change``: rows only in ``a`` (removed), only in ``b`` (added), or different (changed)."""
     x = a.select(*key, row_hash(columns).alias("ha"))

@@ -34,3 +34,15 @@ def first_per(df: DataFrame, key: list[str], order: list[str], columns: list[str
     """One row per key, the least by ``order``: an insert that ignores keys already present."""
     rows = df.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r"))
     return rows.select(*key, *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
+def imported(packages: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key of several packages of a table: that of the first package by ``order``, as first wins.
+
+    Columns are those of ``packages``, then ``n_rows`` and ``is_conflict``, whether any other row of the key
+    differs in a column outside of ``order``. A key with very many rows is reduced before it moves.
+    """
+    rest = [c for c in packages.columns if c not in (*key, *order)]
+    content = F.xxhash64(*sorted(rest)) if rest else F.lit(0)
+    rows = packages.withColumn("_c", content).groupBy(*key).agg(F.min_by(F.struct(*order, *rest), F.struct(*order, F.col("_c"))).alias("r"), F.count("*").alias("n_rows"), (F.min("_c") != F.max("_c")).alias("is_conflict"))
+    return rows.select(*(F.col(c) if c in key else F.col(f"r.{c}") for c in packages.columns), "n_rows", "is_conflict")

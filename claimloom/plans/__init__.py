@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "texts", "joins", "aggregates", "search", "changes", "streams")
+MODULES = ("problems", "texts", "joins", "aggregates", "search", "changes", "packages", "streams")
 
 
 def _all(attribute: str) -> dict:

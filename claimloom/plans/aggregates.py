@@ -1,4 +1,4 @@
-"""Queries of aggregations, constraints, digests, snapshots and round trips through files."""
+"""Queries of aggregations, constraints and digests."""
 
 from __future__ import annotations
 
@@ -100,19 +100,6 @@ def hsh4_packet_digest(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("review_batch_id").agg(*digests.multiset_digest(F.col("h")))
 
 
-DIGESTED = {"sources": ["source_id", "source_type", "title", "language", "original_file_sha256"], "source_claims": ["claim_id", "source_id", "claim_type", "source_quote", "record_review_status"], "claim_locators": ["locator_id", "claim_id", "section_id", "page"], "review_batches": ["review_batch_id", "run_id", "status"]}
-
-
-def int3_summary(spark: SparkSession, d: str) -> DataFrame:
-    """INT-3, INT-4, DAT-2: per table, rows, a digest of ids and one of contents without times."""
-    parts = []
-    for t, columns in DIGESTED.items():
-        r = records(spark, d, t)
-        ids = digests.table_digest(r, t, columns, [IDS[t]]).select("table_name", F.col("digest_a").alias("id_digest"))
-        parts.append(digests.table_digest(r, t, columns).join(ids, "table_name").select("table_name", "n_rows", "id_digest", F.col("digest_a").alias("content_digest")))
-    return reduce(DataFrame.union, parts)
-
-
 def int5_compare(spark: SparkSession, d: str) -> DataFrame:
     """INT-5, JOIN-17: what differs between the claims and their latest snapshot, by kind."""
     cols = ["source_id", "claim_type", "record_review_status", "quote_match_status", "author_hedging"]
@@ -122,22 +109,6 @@ def int5_compare(spark: SparkSession, d: str) -> DataFrame:
     return digests.differences(latest, records(spark, d, "source_claims"), ["claim_id"], cols).groupBy("change").agg(F.count("*").alias("n_claims"))
 
 
-def snk9_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-9, INT-1: per source, records and a digest of each kind, as a snapshot's manifest lists them."""
-    parts = [records(spark, d, t).where("source_id IS NOT NULL").select("source_id", F.lit(t).alias("record_type"), digests.row_hash([IDS[t], "source_id"]).alias("h")) for t in ("source_claims", "source_sections", "processing_runs", "review_batches")]
-    return reduce(DataFrame.union, parts).groupBy("source_id", "record_type").agg(*digests.multiset_digest(F.col("h")))
-
-
-def snk1_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-1, SNK-5, SNK-8, SRC-3: claims written as JSON lines and read back."""
-    return sinks.round_trip(records(spark, d, "source_claims").select("claim_id", "source_quote", "scope_description", "author_hedging"), "jsonl")
-
-
-def snk4_csv(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-4, SRC-5: claims written as CSV, with line breaks and quotes inside, and read back."""
-    return sinks.round_trip(records(spark, d, "source_claims").select("claim_id", "source_quote", "scope_description", "author_hedging"), "csv")
-
-
 def snk3_markdown(spark: SparkSession, d: str) -> DataFrame:
     """SNK-3, SNK-7: each page of a source as Markdown under its marker, and each claim as a list item."""
     pages = records(spark, d, "source_sections").select(F.col("section_id").alias("record_id"), F.concat(sinks.page_marker(F.col("page_start")), F.lit("\n"), F.col("text")).alias("markdown")).where("markdown IS NOT NULL")
@@ -145,10 +116,7 @@ def snk3_markdown(spark: SparkSession, d: str) -> DataFrame:
     return pages.union(items).select("record_id", F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (agg2_statuses, agg3_max_page, agg5_tasks, agg6_batches, agg12_tally, agg13_record_counts, agg14_conflicts, win6_latest_runs, con1_rules, con1_unique, hsh2_input_hash, hsh3_row_hash, hsh4_packet_digest, int3_summary, int5_compare, snk9_manifest, snk1_jsonl, snk4_csv, snk3_markdown)}
-
-_QUOTE = "claim_id, source_quote, scope_description, author_hedging"
-
+QUERIES = {f.__name__: f for f in (agg2_statuses, agg3_max_page, agg5_tasks, agg6_batches, agg12_tally, agg13_record_counts, agg14_conflicts, win6_latest_runs, con1_rules, con1_unique, hsh2_input_hash, hsh3_row_hash, hsh4_packet_digest, int5_compare, snk3_markdown)}
 
 def _rules() -> str:
     v = validation
@@ -165,11 +133,6 @@ def _rules() -> str:
     return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{name}' AS rule, count(*) AS n_rows, count(*) FILTER (WHERE {bad}) AS n_violations FROM {t}" for t, rs in rules for name, bad in rs.items())
 
 
-def _digest(t: str, columns: list[str]) -> str:
-    return f"(SELECT count(*) AS n, {Q.lane('h', 1)} AS a, {Q.lane('h', 16)} AS b FROM (SELECT sha256({Q.canonical_row(columns)}) AS h FROM {_t(t)}))"
-
-
-_MANIFEST = " UNION ALL ".join(f"SELECT source_id, '{t}' AS record_type, sha256({Q.canonical_row([IDS[t], 'source_id'])}) AS h FROM {_t(t)} WHERE source_id IS NOT NULL" for t in ("source_claims", "source_sections", "processing_runs", "review_batches"))
 _CHANGED = ["source_id", "claim_type", "record_review_status", "quote_match_status", "author_hedging"]
 
 SQL = {
@@ -187,13 +150,9 @@ SQL = {
     "hsh2_input_hash": f"SELECT request_id, sha256(section_text) AS text_sha256, left(sha256(concat_ws('|', source_id, section_heading, task_description)), 16) AS input_hash FROM {_t('extraction_requests')}",
     "hsh3_row_hash": f"SELECT claim_id, sha256({Q.canonical_row(['claim_id', 'claim_type', 'source_quote', 'faithful_paraphrase', 'evidence_basis_description', 'author_hedging'])}) AS row_hash FROM {_t('source_claims')}",
     "hsh4_packet_digest": f"SELECT review_batch_id, count(*) AS n_rows, {Q.lane('h', 1)} AS digest_a, {Q.lane('h', 16)} AS digest_b FROM (SELECT review_batch_id, sha256({Q.canonical_row(['row_sequence', 'claim_id', 'row_input_sha256'])}) AS h FROM {_t('review_batch_rows')}) GROUP BY 1",
-    "int3_summary": " UNION ALL ".join(f"SELECT '{t}' AS table_name, c.n AS n_rows, i.a AS id_digest, c.a AS content_digest FROM {_digest(t, cols)} c, {_digest(t, [IDS[t]])} i" for t, cols in DIGESTED.items()),
     "int5_compare": f"""WITH l AS (SELECT * FROM claim_snapshots WHERE snapshot_id = (SELECT snapshot_id FROM claim_snapshots ORDER BY taken_at DESC, snapshot_id DESC LIMIT 1) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC NULLS LAST, sha256({Q.canonical_row(_CHANGED)}) DESC) = 1),
         j AS (SELECT CASE WHEN l.claim_id IS NULL THEN 'added' WHEN c.claim_id IS NULL THEN 'removed' WHEN ({', '.join('l.' + x for x in _CHANGED)}) IS DISTINCT FROM ({', '.join('c.' + x for x in _CHANGED)}) THEN 'changed' END AS change FROM l FULL JOIN {_t('source_claims')} c ON c.claim_id = l.claim_id)
         SELECT change, count(*) AS n_claims FROM j WHERE change IS NOT NULL GROUP BY 1""",
-    "snk9_manifest": f"SELECT source_id, record_type, count(*) AS n_rows, {Q.lane('h', 1)} AS digest_a, {Q.lane('h', 16)} AS digest_b FROM ({_MANIFEST}) GROUP BY 1, 2",
-    "snk1_jsonl": f"SELECT {_QUOTE} FROM {_t('source_claims')}",
-    "snk4_csv": f"SELECT {_QUOTE} FROM {_t('source_claims')}",
     "snk3_markdown": f"""SELECT section_id AS record_id, sha256(chr(10) || '<!-- PAGE ' || page_start || ' -->' || chr(10) || chr(10) || text) AS markdown_sha256 FROM {_t('source_sections')} WHERE page_start IS NOT NULL AND text IS NOT NULL
         UNION ALL SELECT claim_id, sha256({" || ".join(f"'{p}{c}: ' || regexp_replace(coalesce({c}, ''), '[\\r\\n]+', ' ', 'g') || chr(10)" for p, c in (('- ', 'claim_type'), ('  ', 'source_quote'), ('  ', 'author_hedging')))}) FROM {_t('source_claims')}""",
 }

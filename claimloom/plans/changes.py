@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.durable import temporary
 from claimloom.functions.text import instant_us
 from claimloom.operators import history, merging, providers, quotes, search
 from claimloom.plans import sqltext as Q
 from claimloom.plans.joins import _t, records
 from claimloom.plans.search import FIELDS
-from claimloom.sources import snapshots
 from claimloom.sources.tables import table
 
 _READ = ", ".join(f"{f} STRING" for f in history.FIELDS)
@@ -50,15 +48,6 @@ def sta9_first_sections(spark: SparkSession, d: str) -> DataFrame:
     return merging.first_per(s, ["source_id", "sequence_number"], ["received_at", "section_id"], ["section_id", "text_sha256"])
 
 
-def int1_snapshot_check(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-9, SNK-12, INT-1, INT-2, INT-7: tables written as a version, read back and checked against the manifest."""
-    root = temporary(spark, "snapshots")
-    columns = {"sources": ["source_id", "title", "language"], "source_claims": ["claim_id", "source_id", "source_quote", "claim_type"], "claim_locators": ["locator_id", "claim_id", "page"]}
-    snapshots.write({t: records(spark, d, t).select(*c) for t, c in columns.items()}, root)
-    stored = snapshots.manifest(snapshots.read(spark, root)).select("table_name", "n_rows", "digest_a")
-    return stored.join(snapshots.check(spark, root), "table_name").select("table_name", "n_rows", "digest_a", F.coalesce("problem", F.lit("none")).alias("problem"))
-
-
 def int8_checks(spark: SparkSession, d: str) -> DataFrame:
     """INT-8, EVL-5, AGG-1: named checks with what they counted."""
     approved = F.col("record_review_status").isin("approved", "approved_with_edits")
@@ -88,12 +77,11 @@ def fts3_index_update(spark: SparkSession, d: str) -> DataFrame:
     return search.term_stats(posts)
 
 
-QUERIES = {f.__name__: f for f in (sta1_apply_revisions, sta2_edited_quotes, sta8_persisted, sta9_first_sections, int1_snapshot_check, int8_checks, txt7_prompts, fts3_index_update)}
+QUERIES = {f.__name__: f for f in (sta1_apply_revisions, sta2_edited_quotes, sta8_persisted, sta9_first_sections, int8_checks, txt7_prompts, fts3_index_update)}
 
 _NEW = ", ".join(f"json_extract_string(new_content_json, '$.{f}') AS {f}" for f in history.FIELDS)
 _LAST = f"(SELECT claim_id, {_NEW} FROM (SELECT * FROM claim_revisions QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY CAST(created_at AS TIMESTAMPTZ) DESC, revision_id DESC) = 1))"
 _AFTER = f"(SELECT c.claim_id, {', '.join(f'CASE WHEN l.claim_id IS NULL THEN c.{f} ELSE l.{f} END AS {f}' for f in history.FIELDS)} FROM {_t('source_claims')} c LEFT JOIN {_LAST} l USING (claim_id))"
-_SNAP = {"sources": ["source_id", "title", "language"], "source_claims": ["claim_id", "source_id", "source_quote", "claim_type"], "claim_locators": ["locator_id", "claim_id", "page"]}
 _TOKENS = "regexp_extract_all(lower(strip_accents(concat_ws(chr(10), source_quote, faithful_paraphrase, evidence_basis_description))), '[\\p{L}\\p{N}]+')"
 
 SQL = {
@@ -103,7 +91,6 @@ SQL = {
         SELECT e.claim_id, CASE kind WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' ELSE 'not_found' END AS status FROM e LEFT JOIN k USING (claim_id)""",
     "sta8_persisted": f"SELECT c.claim_id, CASE quote_match_status WHEN 'exact' THEN 'high' ELSE 'medium' END AS confidence, coalesce(nullif(l.page, 0), s.page_start, -1) AS page FROM {_t('source_claims')} c LEFT JOIN (SELECT claim_id, page, section_id FROM {_t('claim_locators')} QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY locator_id) = 1) l USING (claim_id) LEFT JOIN {_t('source_sections')} s ON s.section_id = l.section_id WHERE quote_match_status IN ('exact', 'normalised')",
     "sta9_first_sections": "SELECT source_id, sequence_number, section_id, text_sha256 FROM source_sections WHERE source_id IS NOT NULL AND sequence_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, sequence_number ORDER BY received_at, section_id) = 1",
-    "int1_snapshot_check": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, {Q.lane('h', 1)} AS digest_a, 'none' AS problem FROM (SELECT sha256({Q.canonical_row(c)}) AS h FROM {_t(t)})" for t, c in _SNAP.items()),
     "int8_checks": f"""WITH c AS (SELECT count(*) FILTER (WHERE coalesce(source_quote, '') = '') AS nq, count(*) FILTER (WHERE origin_scope IS DISTINCT FROM 'external') AS ne, count(*) FILTER (WHERE record_review_status IN ('approved', 'approved_with_edits')) AS ap, count(*) FILTER (WHERE record_review_status IN ('approved', 'approved_with_edits') AND len({_TOKENS}) > 0) AS ix FROM {_t('source_claims')}),
         l AS (SELECT count(*) FILTER (WHERE page IS NULL) AS np FROM {_t('claim_locators')})
         SELECT 'quotes present' AS check_name, nq AS counted, nq = 0 AS passed FROM c UNION ALL SELECT 'origin isolated', ne, ne = 0 FROM c UNION ALL SELECT 'locators with page', np, np = 0 FROM l UNION ALL SELECT 'approved claims indexed', ix, ix = ap FROM c""",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.durable import file_system
 from claimloom.operators.digests import table_digest
+from claimloom.operators.merging import imported
 
 _MANIFEST = "table_name string, n_rows bigint, digest_a string, digest_b string"
 
@@ -76,3 +77,27 @@ def check(spark: SparkSession, root: str) -> DataFrame:
     rows = want.join(got, F.col("table_name") == F.col("t"), "full_outer")
     problem = F.when(F.col("t").isNull(), "missing").when(F.col("table_name").isNull(), "unlisted").when(F.col("n_rows") != F.col("_n_rows"), "row count").when((F.col("digest_a") != F.col("_digest_a")) | (F.col("digest_b") != F.col("_digest_b")), "content")
     return rows.select(F.coalesce("table_name", "t").alias("table_name"), problem.alias("problem"))
+
+
+def rebuild(spark: SparkSession, packages: list[str], keys: dict[str, list[str]], target: str) -> DataFrame:
+    """A new version at ``target`` from several packages, each a root of versions; returns ``table_name, n_rows, n_conflicts``.
+
+    All packages are checked first: one whose tables do not agree with its manifest stops everything, and
+    the target stays as it was; one without any version is passed over. Then each table takes every key once,
+    from the first package that has it; ``keys`` names the key of each table.
+    """
+    there = [p for p in packages if file_system(spark, p)[0].exists(file_system(spark, p)[1]) and _pointers(spark, p)]
+    for p in there:
+        bad = check(spark, p).where("problem IS NOT NULL").first()  # one row
+        if bad:
+            raise ValueError(f"{p}: {bad.table_name}: {bad.problem}")
+    if not there:
+        raise ValueError("no package has a version")
+    stored = [read(spark, p) for p in there]
+    merged = {}
+    for name in sorted({n for s in stored for n in s}):
+        parts = [s[name].withColumn("_package", F.lit(i)) for i, s in enumerate(stored) if name in s]
+        merged[name] = imported(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), keys[name], ["_package"])
+    version = write({n: df.drop("_package", "n_rows", "is_conflict") for n, df in merged.items()}, target)
+    assert version == current(spark, target)[0]
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("n_rows"), F.count_if("is_conflict").alias("n_conflicts")).select(F.lit(n).alias("table_name"), "n_rows", "n_conflicts") for n, df in merged.items()])
