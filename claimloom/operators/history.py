@@ -100,7 +100,11 @@ def claim_versions(revisions: DataFrame) -> DataFrame:
     The content before the first revision is a version whose valid_from_us is NULL. A revision that
     leaves what was in force begins none. Claims without usable revisions have no rows.
     """
-    states = written(revision_states(revisions).select("claim_id", "us", F.col("before.k").alias("before"), F.col("after.k").alias("after")), "revisions")
+    return _versions(written(revision_states(revisions).select("claim_id", "us", "before.k", F.col("after.k").alias("after")).withColumnRenamed("k", "before"), "revisions"))
+
+
+def _versions(states: DataFrame) -> DataFrame:
+    """The versions from ``claim_id, us, before, after`` (content keys)."""
     base = states.groupBy("claim_id").agg(F.min_by("before", "us").alias("content")).select(F.col("claim_id").alias("entity"), F.lit(BEGINNING).alias("us"), "content")
     runs = presence_runs(base.unionByName(states.select(F.col("claim_id").alias("entity"), "us", F.col("after").alias("content"))))
     return runs.select(F.col("entity").alias("claim_id"), F.col("content").alias("content_key"), F.when(F.col("valid_from") != BEGINNING, F.col("valid_from")).alias("valid_from_us"), F.col("valid_to").alias("valid_to_us"))
@@ -108,6 +112,7 @@ def claim_versions(revisions: DataFrame) -> DataFrame:
 
 def claim_history(revisions: DataFrame) -> DataFrame:
     """:func:`claim_versions` with the four values of each version."""
-    states = revision_states(revisions)
+    states = written(revision_states(revisions), "contents")
     contents = states.select("claim_id", F.explode(F.array("before", "after")).alias("x")).groupBy("claim_id", F.col("x.k").alias("content_key")).agg(F.any_value("x.c").alias("c"))
-    return claim_versions(revisions).join(contents, ["claim_id", "content_key"]).select("claim_id", "valid_from_us", "valid_to_us", *(F.col(f"c.{f}").alias(f) for f in FIELDS))
+    versions = _versions(states.select("claim_id", "us", F.col("before.k").alias("before"), F.col("after.k").alias("after")))
+    return versions.join(contents, ["claim_id", "content_key"]).select("claim_id", "valid_from_us", "valid_to_us", *(F.col(f"c.{f}").alias(f) for f in FIELDS))

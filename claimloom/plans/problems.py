@@ -86,6 +86,9 @@ w AS (SELECT claim_id, us, after, coalesce(lag(after) OVER (PARTITION BY claim_i
 
 SQL = {
     "p2_found": _VERSIONS + "SELECT claim_id, us AS valid_from_us FROM w WHERE after IS DISTINCT FROM was",
+    "p2_history": _VERSIONS + """, b AS (SELECT claim_id, arg_min(before, us) AS k FROM t GROUP BY 1),
+        x AS (SELECT claim_id, us, after AS k FROM w WHERE after IS DISTINCT FROM was UNION ALL SELECT claim_id, NULL, k FROM b)
+        SELECT claim_id, us AS valid_from_us, lead(us) OVER (PARTITION BY claim_id ORDER BY us NULLS FIRST) AS valid_to_us, """ + ", ".join(f"k[{i + 1}] AS {f}" for i, f in enumerate(history.FIELDS)) + " FROM x",
     "p3_found": _ORPHANS + "SELECT DISTINCT table_name, field_name, record_id FROM o",
     "p3_orphans_by_month": _ORPHANS + ", m AS (SELECT table_name, field_name, record_id, k, min(received_at) AS first_at FROM o GROUP BY ALL) SELECT table_name, field_name, strftime(first_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(DISTINCT record_id) AS n_records, count(DISTINCT k) AS n_keys FROM m GROUP BY ALL",
     "p4_found": _CHANGES + "SELECT * FROM f",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.durable import written
+from claimloom.functions.durable import file_system, temporary, written
 from claimloom.operators import evaluation, search
 from claimloom.plans import sqltext as Q
 from claimloom.plans.joins import _t, records
@@ -25,18 +25,41 @@ def fts2_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.term_stats(search.postings(_index(spark, d)))
 
 
+#: The index written for each data folder of a session.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _written(spark: SparkSession, d: str) -> str:
+    """The folder of the index over approved claims, written by the first query that needs it."""
+    key = spark.sparkContext.applicationId, d
+    if key in _WRITTEN:
+        fs, place = file_system(spark, _WRITTEN[key])
+        if fs.exists(place):
+            return _WRITTEN[key]
+    _WRITTEN[key] = search.write_index(written(_index(spark, d), "terms"), temporary(spark, "index"))
+    return _WRITTEN[key]
+
+
 def fts5_bm25(spark: SparkSession, d: str) -> DataFrame:
     """FTS-4, FTS-5, JOIN-18, SRT-4: the best 20 claims with all words of a query."""
-    return search.bm25(_index(spark, d), WORDS).select("record_id", F.round("score", 9).alias("score"))
+    return search.bm25(spark, _written(spark, d), WORDS).select("record_id", F.round("score", 9).alias("score"))
 
 
 def fts6_results(spark: SparkSession, d: str) -> DataFrame:
-    """FTS-6, JOIN-4: found claims with their source and first locator."""
-    hits = search.bm25(_index(spark, d), MORE).select(F.col("record_id").alias("claim_id"), F.round("score", 9).alias("score"))
-    c = records(spark, d, "source_claims").select("claim_id", "source_id", "source_quote", "record_review_status")
-    s = records(spark, d, "sources").select("source_id", "title")
-    at = records(spark, d, "claim_locators").groupBy("claim_id").agg(F.min_by(F.coalesce("page", F.lit(-1)), "locator_id").alias("page"))
-    return hits.join(c, "claim_id").join(s, "source_id", "left").join(at, "claim_id", "left").select("claim_id", "score", "source_quote", "record_review_status", "title", F.coalesce("page", F.lit(-1)).alias("page"))
+    """FTS-6, JOIN-4: found claims with their texts and statuses, their source, first locator and its section."""
+    hits = search.bm25(spark, _written(spark, d), MORE).select(F.col("record_id").alias("claim_id"), F.round("score", 9).alias("score"))
+    c = records(spark, d, "source_claims").select("claim_id", "source_id", *FIELDS, "claim_type", "record_review_status", "scientific_verification_status", "origin_scope")
+    s = records(spark, d, "sources").select("source_id", F.col("title").alias("source_title"))
+    at = records(spark, d, "claim_locators").groupBy("claim_id").agg(F.min_by(F.struct("page", "section_id"), "locator_id").alias("l")).select("claim_id", "l.*")
+    x = records(spark, d, "source_sections").select("section_id", F.col("heading").alias("section_heading"))
+    rows = hits.join(c, "claim_id").join(s, "source_id", "left").join(at, "claim_id", "left").join(x, "section_id", "left")
+    return rows.select("claim_id", "score", *FIELDS, "claim_type", "record_review_status", "scientific_verification_status", "origin_scope", "source_id", "source_title", F.coalesce("page", F.lit(-1)).alias("page"), "section_id", "section_heading")
+
+
+def str19_probe_words(spark: SparkSession, d: str) -> DataFrame:
+    """STR-19: the words of each approved claim's quote by which its index is probed."""
+    c = records(spark, d, "source_claims").where("record_review_status IN ('approved', 'approved_with_edits')")
+    return c.select("claim_id", F.array_join(search.probe_words(F.col("source_quote")), " ").alias("words"))
 
 
 def fts8_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +110,7 @@ def evl4_gate(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.gate(counts, evaluation.unsupported(a, c).agg(F.count("*").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (fts2_term_stats, fts5_bm25, fts6_results, fts8_fingerprint, evl1_best_match, evl2_metrics, evl3_unsupported, evl4_gate)}
+QUERIES = {f.__name__: f for f in (fts2_term_stats, fts5_bm25, fts6_results, fts8_fingerprint, str19_probe_words, evl1_best_match, evl2_metrics, evl3_unsupported, evl4_gate)}
 
 _TOKENS = "regexp_extract_all(lower(strip_accents(concat_ws(chr(10), source_quote, faithful_paraphrase, evidence_basis_description))), '[\\p{L}\\p{N}]+')"
 _IX = f"ix AS (SELECT claim_id AS record_id, {_TOKENS} AS terms FROM {_t('source_claims')} WHERE record_review_status IN ('approved', 'approved_with_edits')), po AS (SELECT term, record_id, count(*) AS tf FROM (SELECT record_id, unnest(terms) AS term FROM ix) GROUP BY ALL)"
@@ -125,7 +148,11 @@ _GATE = " UNION ALL ".join(
 SQL = {
     "fts2_term_stats": f"WITH {_IX} SELECT term, count(*) AS n_records, CAST(sum(tf) AS BIGINT) AS n_occurrences FROM po GROUP BY term",
     "fts5_bm25": _bm25(WORDS) + "SELECT * FROM hits",
-    "fts6_results": _bm25(MORE) + f", l AS (SELECT claim_id, arg_min(coalesce(page, -1), locator_id) AS page FROM {_t('claim_locators')} GROUP BY 1) SELECT h.record_id AS claim_id, h.score, c.source_quote, c.record_review_status, s.title, coalesce(l.page, -1) AS page FROM hits h JOIN {_t('source_claims')} c ON c.claim_id = h.record_id LEFT JOIN {_t('sources')} s ON s.source_id = c.source_id LEFT JOIN l ON l.claim_id = h.record_id",
+    "fts6_results": _bm25(MORE) + f""", l AS (SELECT claim_id, page, section_id FROM {_t('claim_locators')} QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY locator_id) = 1)
+        SELECT h.record_id AS claim_id, h.score, {', '.join('c.' + x for x in FIELDS)}, c.claim_type, c.record_review_status, c.scientific_verification_status, c.origin_scope, c.source_id, s.title AS source_title, coalesce(l.page, -1) AS page, l.section_id, ss.heading AS section_heading
+        FROM hits h JOIN {_t('source_claims')} c ON c.claim_id = h.record_id LEFT JOIN {_t('sources')} s ON s.source_id = c.source_id LEFT JOIN l ON l.claim_id = h.record_id LEFT JOIN {_t('source_sections')} ss ON ss.section_id = l.section_id""",
+    "str19_probe_words": f"""SELECT claim_id, array_to_string(list_filter(list_transform(list_filter(string_split({Q.collapse(Q.strip('source_quote'))}, ' '), lambda w: length(w) > 0)[1:3], lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: length(w) > 2 AND lower(w) NOT IN ({', '.join(map(repr, search.STOP_WORDS))})), ' ') AS words
+        FROM {_t('source_claims')} WHERE record_review_status IN ('approved', 'approved_with_edits')""",
     "fts8_fingerprint": f"WITH {_IX} SELECT count(*) AS n_rows, {Q.lane('h', 1)} AS digest_a, {Q.lane('h', 16)} AS digest_b FROM (SELECT sha256(concat_ws(chr(31), term, record_id, CAST(tf AS VARCHAR))) AS h FROM po)",
     "evl1_best_match": _EVL + "SELECT annotation_id, claim_id FROM m",
     "evl2_metrics": _EVL + "SELECT * FROM x",
