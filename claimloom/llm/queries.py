@@ -68,20 +68,19 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dupes.collapsed(*_copies(spark, sf_dir))
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, overlap = split.limit(table(spark, sf_dir, "size_limits"), "claim_chunk")
+def _long(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], str, int, int]:
     rows = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(i).alias("record_id"), F.col(c).alias("text")) for t, i, c in (("source_sections", "section_id", "text"), ("extraction_requests", "request_id", "section_text"))]
-    return split.pieces(reduce(DataFrame.unionByName, rows), ["table_name", "record_id"], "text", size, overlap)
+    return reduce(DataFrame.unionByName, rows), ["table_name", "record_id"], "text", *split.limit(table(spark, sf_dir, "size_limits"), "claim_chunk")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that had to be cut."""
-    return _pieces(spark, sf_dir).where("n_pieces > 1").select("table_name", "record_id").distinct()
+    return split.cut(*_long(spark, sf_dir)).where(F.size("cores") > 1).select("table_name", "record_id").distinct()
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all records that had to be cut; a redelivered record is cut once."""
-    return _pieces(spark, sf_dir).dropDuplicates(["table_name", "record_id", "piece_no"])
+    return split.pieces(*_long(spark, sf_dir)).dropDuplicates(["table_name", "record_id", "piece_no"])
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +152,20 @@ def _form(x: str) -> str:
 
 _FORMS = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i} AS record_id, {c} AS text, {_form(c)} AS form FROM {t}" for t, i, c in FORMS) + "), d AS (SELECT DISTINCT * FROM f WHERE text IS NOT NULL) "
 
+def _cut(most: str, least: str) -> str:
+    """The length of the core that begins ``rest``: up to the last of the strongest boundaries between ``least`` and ``most``."""
+    ws = r"[ \t\n\x{0b}\f\r]"
+    ends = (r"\n(?:\n|\r\n)", r"\n", rf"[.!?]{ws}", "[。！？]", rf"(?:[;:,]{ws}|[；：，、])", ws)
+    upto = [f"length(regexp_extract(left(rest, {most}), '(?s)^.*{e}'))" for e in ends]
+    return f"CASE WHEN length(rest) <= {most} THEN length(rest) " + " ".join(f"WHEN {n} >= {least} THEN {n}" for n in upto) + f" ELSE {most} END"
+
+
+_PIECES = f"""WITH RECURSIVE l AS (SELECT max_size AS m, overlap_size AS o FROM size_limits WHERE limit_name = 'claim_chunk'),
+t AS (SELECT DISTINCT table_name, record_id, text FROM (SELECT 'source_sections' AS table_name, section_id AS record_id, text FROM source_sections UNION ALL SELECT 'extraction_requests', request_id, section_text FROM extraction_requests), l WHERE length(text) > m),
+c AS (SELECT table_name, record_id, text, -1 AS n, CAST(0 AS BIGINT) AS begun, CAST(0 AS BIGINT) AS size FROM t
+  UNION ALL SELECT table_name, record_id, text, n + 1, begun + size, CASE WHEN n < 0 THEN {_cut('m', 'greatest(o, m // 2, 1)')} ELSE {_cut('(m - o)', 'least(m - o, greatest(o, (m - o) // 2, 1))')} END
+  FROM (SELECT *, substr(text, begun + size + 1) AS rest FROM c), l WHERE rest <> '') """
+
 #: Documents, every window of so many characters by its hash, and the runs of windows that another document has.
 _SPANS = f"""WITH w AS (SELECT doc_id, i, md5_number(substr(text, i + 1, {spans.SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - {spans.SPAN - 1})) AS i FROM documents)),
 s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))),
@@ -168,5 +181,6 @@ SQL = {
     "p5_found": _FORMS + "SELECT DISTINCT a.table_name, a.record_id AS record_a, b.record_id AS record_b FROM d a JOIN d b ON a.table_name = b.table_name AND a.form = b.form AND a.text <> b.text AND a.record_id < b.record_id",
     "p6_found": _COPIES + ", g AS (SELECT table_name, id, min(id) OVER (PARTITION BY table_name, q, f) AS a FROM k) SELECT table_name, a AS record_a, id AS record_b FROM g WHERE id <> a",
     "p6_records": _COPIES + "SELECT table_name, min(id) AS record_id, count(*) AS n_copies FROM k GROUP BY table_name, q, f",
+    "p7_pieces": _PIECES + "SELECT table_name, record_id, n AS piece_no, CAST(count(*) OVER (PARTITION BY table_name, record_id) AS INT) AS n_pieces, CAST(begun - CASE WHEN n > 0 THEN o ELSE 0 END AS INT) AS start, substr(text, begun - CASE WHEN n > 0 THEN o ELSE 0 END + 1, size + CASE WHEN n > 0 THEN o ELSE 0 END) AS piece FROM c, l WHERE n >= 0",
     "p7_found": "WITH l AS (SELECT max_size FROM size_limits WHERE limit_name = 'claim_chunk') SELECT DISTINCT 'source_sections' AS table_name, section_id AS record_id FROM source_sections, l WHERE length(text) > max_size UNION SELECT DISTINCT 'extraction_requests', request_id FROM extraction_requests, l WHERE length(section_text) > max_size",
 }

@@ -33,18 +33,24 @@ def cores(text: Column, max_size: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(max_size, overlap)), F.lit(0))
 
 
+def cut(df: DataFrame, keys: list[str], text: str, max_size: int, overlap: int) -> DataFrame:
+    """``keys`` and ``cores`` of every text longer than ``max_size``."""
+    return df.where(F.length(text) > max_size).select(*keys, cores(F.col(text), max_size, overlap).alias("cores"))
+
+
 def pieces(df: DataFrame, keys: list[str], text: str, max_size: int, overlap: int) -> DataFrame:
     """``keys, piece_no, n_pieces, start, piece`` of every text longer than ``max_size``.
 
     Pieces are at most ``max_size`` code points; each but the first begins exactly ``overlap`` code
-    points before the end of the one before. Shorter, empty and NULL texts give no rows.
+    points before the end of the one before. No core but the last is shorter than half of what it may be:
+    a stronger boundary before that is passed over. Shorter, empty and NULL texts give no rows.
     """
-    long = df.where(F.length(text) > max_size).select(*keys, cores(F.col(text), max_size, overlap).alias("_cores"))
-    sizes = F.transform("_cores", lambda c: F.length(c))
+    long = cut(df, keys, text, max_size, overlap)
+    sizes = F.transform("cores", lambda c: F.length(c))
     # Running offsets in one fold over the sizes.
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    out = F.transform("_cores", lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get("_cores", i - 1), F.lit(overlap)), c)))
-    back = long.select(*keys, F.size("_cores").alias("n_pieces"), starts.alias("_starts"), F.posexplode(out).alias("piece_no", "piece"))
+    out = F.transform("cores", lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get("cores", i - 1), F.lit(overlap)), c)))
+    back = long.select(*keys, F.size("cores").alias("n_pieces"), starts.alias("_starts"), F.posexplode(out).alias("piece_no", "piece"))
     return back.select(*keys, "piece_no", "n_pieces", (F.get("_starts", "piece_no") - F.when(F.col("piece_no") > 0, overlap).otherwise(0)).alias("start"), "piece")
 
 
