@@ -274,6 +274,12 @@ SQL = {
         SELECT g.source_id, CASE WHEN island = 0 THEN 'body' ELSE section_type END AS section_type, h.heading, page_start, page_end, n_pages, n_chars FROM g LEFT JOIN h ON h.source_id = g.source_id AND h.page = g.page_start AND island > 0
         WHERE island > 0 OR NOT EXISTS (SELECT 1 FROM h x WHERE x.source_id = g.source_id)""",
     "txt3_numbered": f"SELECT section_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(page_start, 2147483647), section_id) AS n FROM {_S} WHERE source_id IS NOT NULL",
+    "txt4_chunks": f"""WITH RECURSIVE s AS (SELECT section_id, text, string_split(text, chr(10) || chr(10)) AS ps FROM {_S} WHERE text IS NOT NULL),
+        r AS (SELECT section_id, ps, 0 AS i, '' AS cur, 0 AS n, NULL::VARCHAR AS chunk FROM s WHERE length(text) > 3000
+          UNION ALL SELECT section_id, ps, i + 1, CASE WHEN closes OR cur = '' THEN ps[i + 1] ELSE cur || chr(10) || chr(10) || ps[i + 1] END, n + CAST(closes AS INT), CASE WHEN closes THEN {Q.strip('cur')} END
+          FROM (SELECT *, length(cur) + length(ps[i + 1]) > 3000 AND cur <> '' AS closes FROM r WHERE i < len(ps))),
+        c AS (SELECT section_id, n - 1 AS n, chunk FROM r WHERE chunk IS NOT NULL UNION ALL SELECT section_id, n, {Q.strip('cur')} FROM r WHERE i = len(ps) AND {Q.strip('cur')} <> '' UNION ALL SELECT section_id, 0, text FROM s WHERE length(text) <= 3000)
+        SELECT section_id, n, length(chunk) AS n_chars, sha256(chunk) AS chunk_sha256 FROM c""",
     "txt5_provider": f"""WITH k AS (SELECT claim_id, list_filter({_words('lower(source_quote)')}, lambda w: length(w) > 3) AS ws FROM {_C}),
         r AS (SELECT request_id, lower(section_text) AS t FROM {Q.once('extraction_requests', 'request_id')} WHERE length({Q.strip('section_text')}) >= 20),
         n AS (SELECT claim_id, request_id, len(ws) AS size, len(list_filter(ws, lambda w: contains(t, w))) AS n FROM k, r WHERE len(ws) >= 2)
