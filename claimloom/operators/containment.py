@@ -115,6 +115,27 @@ def overlapping(targets: DataFrame, held: DataFrame) -> DataFrame:
     return got.select("target_id", F.explode("ids").alias("candidate_id"))
 
 
+def whole_in(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``target_id, candidate_id``: the candidates (``id, text``) that hold a target's ``quote`` (``id, quote``) letter for letter.
+
+    The inner words of a quote, bounded by white space within it, are words of any text that holds it, so
+    the rarest of them is joined on. A quote of one or two words has none: its longest word is part of a
+    word of the text. Quotes that are blank or NULL match nothing.
+    """
+    w = targets.select(F.col("id").alias("target_id"), "quote", words("quote").alias("w")).where(F.size("w") > 0)
+    listed = written(candidates.select("id", F.explode(F.array_distinct(words("text"))).alias("word")), "listed")
+    often = listed.groupBy("word").agg(F.count("*").alias("n"))
+    least = F.array_min(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))))
+    inner = w.where(F.size("w") > 2).select("target_id", "quote", F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("word"))
+    pairs = inner.join(often, "word", "left").groupBy("target_id", "quote").agg(least.alias("x")).where("x.n > 0").select("target_id", "quote", F.col("x.word").alias("word")).join(listed, "word").select("target_id", "quote", "id")
+    short = w.where(F.size("w") <= 2).select("target_id", "quote", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
+    if not short.isEmpty():
+        found = substrings(short.select("word").distinct(), listed.select(F.col("word").alias("token")).distinct())
+        among = found.join(listed.withColumnRenamed("word", "token"), "token").select("word", "id").distinct()
+        pairs = pairs.unionByName(short.join(among, "word").select("target_id", "quote", "id"))
+    return pairs.join(candidates, "id").where(F.contains("text", F.col("quote"))).select("target_id", F.col("id").alias("candidate_id"))
+
+
 def covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """``target_id, candidate_id``: the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
 

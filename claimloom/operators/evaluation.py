@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.durable import written
 from claimloom.functions.text import strip, words
-from claimloom.operators.containment import covering
+from claimloom.operators.containment import covering, whole_in
 
 #: Hedging words, found as substrings; the least percentages of the gate, and the share of words of a match.
 HEDGES = ("may", "might", "could", "suggest", "potential", "possibly", "likely", "appears", "indicate")
@@ -27,12 +28,12 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     Words have more than two characters, stand anywhere in the claim's quote and count each time; case
     does not matter. Quotes without such words are only looked for as a whole. Both inputs have ``source_quote``.
     """
-    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''")
-    a = a.withColumn("long", F.filter(words("quote"), lambda w: F.length(w) > 2)).withColumn("whole", F.size("long") == 0)
-    # A claim that holds the whole quote holds all its words.
-    a = a.select("id", "quote", "whole", F.when(F.col("whole"), words("quote")).otherwise(F.col("long")).alias("words"))
-    a = a.withColumn("need", F.when(F.col("whole"), F.size("words")).otherwise(F.ceil(F.size("words") * SHARE - 1e-9)))
-    c = claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text"))
+    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''").withColumn("every", words("quote"))
+    long = F.filter("every", lambda w: F.length(w) > 2)
+    whole, n = F.size(long) == 0, F.size(long)
+    # A claim that holds the whole quote holds all its words. Both sides are read several times, so they are written.
+    a = written(a.select("id", "quote", whole.alias("whole"), F.when(whole, F.col("every")).otherwise(long).alias("words"), F.when(whole, F.size("every")).otherwise(F.ceil(n * SHARE - 1e-9)).alias("need")), "targets")
+    c = written(claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text")), "candidates")
     return covering(a, c).groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
 
 
@@ -42,8 +43,7 @@ def unsupported(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     c = claims.select("claim_id", quote.alias("quote")).where("quote <> ''")
     left = c.join(annotations.where("must_extract").select(quote.alias("quote")).distinct(), "quote", "left_anti")
     n = annotations.where("NOT must_extract").select(quote.alias("quote")).where("quote <> ''").distinct()
-    n = n.select(F.col("quote").alias("id"), "quote", F.lit(True).alias("whole"), words("quote").alias("words"), F.size(words("quote")).alias("need"))
-    holds = covering(n, left.select(F.col("claim_id").alias("id"), F.col("quote").alias("text"))).select(F.col("candidate_id").alias("claim_id"))
+    holds = whole_in(n.select(F.col("quote").alias("id"), "quote"), left.select(F.col("claim_id").alias("id"), F.col("quote").alias("text"))).select(F.col("candidate_id").alias("claim_id"))
     return left.join(holds, "claim_id", "left_anti").select("claim_id")
 
 

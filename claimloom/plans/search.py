@@ -70,44 +70,50 @@ def fts8_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return posts.agg(*multiset_digest(F.col("h")))
 
 
-def _annotations(spark: SparkSession, d: str) -> DataFrame:
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """The claims with what evaluation reads of them, once each."""
+    return written(records(spark, d, "source_claims").select("claim_id", "source_quote", "claim_type", "author_hedging", "scope_description", "faithful_paraphrase", "record_review_status"), "claims")
+
+
+def _annotations(c: DataFrame) -> DataFrame:
     """The claims not yet reviewed stand for annotations; those rejected by matching are negatives."""
-    c = records(spark, d, "source_claims").where("record_review_status IN ('pending', 'rejected')")
-    return c.select(F.col("claim_id").alias("annotation_id"), "source_quote", "claim_type", "author_hedging", "scope_description", (F.col("record_review_status") == "pending").alias("must_extract"))
+    return c.where("record_review_status IN ('pending', 'rejected')").select(F.col("claim_id").alias("annotation_id"), "source_quote", "claim_type", "author_hedging", "scope_description", (F.col("record_review_status") == "pending").alias("must_extract"))
+
+
+def _extracted(c: DataFrame) -> DataFrame:
+    return c.where(F.col("record_review_status").isin("approved", "approved_with_edits"))
 
 
-def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    c = records(spark, d, "source_claims").where(F.col("record_review_status").isin("approved", "approved_with_edits"))
+def _metrics(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    a, found = _annotations(c), _extracted(c)
     at = records(spark, d, "claim_locators").groupBy("claim_id").agg(F.min("page").alias("page"))
-    return c.join(at, "claim_id", "left")
+    return evaluation.metrics(a, found.join(at, "claim_id", "left"), written(evaluation.best_matches(a, found), "matches"))
 
 
 def evl1_best_match(spark: SparkSession, d: str) -> DataFrame:
     """EVL-1, JOIN-15: the first extracted claim that covers each annotation."""
-    return evaluation.best_matches(*_both(spark, d))
-
-
-def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Annotations and extracted claims, each made once."""
-    return written(_annotations(spark, d), "annotations"), written(_extracted(spark, d), "extracted")
+    c = _claims(spark, d)
+    return evaluation.best_matches(_annotations(c), _extracted(c))
 
 
 def evl2_metrics(spark: SparkSession, d: str) -> DataFrame:
     """EVL-2, AGG-9, MTH-2: what was expected and met."""
-    a, c = _both(spark, d)
-    return evaluation.metrics(a, c, evaluation.best_matches(a, c))
+    return _metrics(spark, d, _claims(spark, d))
+
+
+def _unsupported(c: DataFrame) -> DataFrame:
+    return evaluation.unsupported(_annotations(c), _extracted(c)).agg(F.count("*").alias("n"))
 
 
 def evl3_unsupported(spark: SparkSession, d: str) -> DataFrame:
     """EVL-3: extracted claims whose quote is no positive annotation's and holds no negative one's."""
-    return evaluation.unsupported(*_both(spark, d)).agg(F.count("*").alias("n"))
+    return _unsupported(_claims(spark, d))
 
 
 def evl4_gate(spark: SparkSession, d: str) -> DataFrame:
     """EVL-4: each metric against its threshold."""
-    a, c = _both(spark, d)
-    counts = evaluation.metrics(a, c, written(evaluation.best_matches(a, c), "matches"))
-    return evaluation.gate(counts, evaluation.unsupported(a, c).agg(F.count("*").alias("n")))
+    c = _claims(spark, d)
+    return evaluation.gate(_metrics(spark, d, c), _unsupported(c))
 
 
 QUERIES = {f.__name__: f for f in (fts2_term_stats, fts5_bm25, fts6_results, fts8_fingerprint, str19_probe_words, evl1_best_match, evl2_metrics, evl3_unsupported, evl4_gate)}

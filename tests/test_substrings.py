@@ -73,6 +73,15 @@ def test_unsupported(spark):
     assert {r.claim_id for r in evaluation.unsupported(a, c).collect()} == {"3", "5"}
 
 
+def test_whole_quotes_against_all_pairs(spark):
+    texts = [("1", "the quick brown fox"), ("2", "a quick  brown foxes jump"), ("3", "quick\nbrown fox"), ("4", ""), ("5", None), ("6", "采用分步退火制备 的"), ("7", "x"), ("8", "over the lazy dog and the quick brown fox again")]
+    quotes = ["quick brown fox", "the quick brown fox", "ick brown fo", "brown", "row", "退火", " ", "", None, "x", "quick  brown foxes", "lazy dog and the qu", "nowhere to be found", "the the the"]
+    t = spark.createDataFrame([(q, q) for q in quotes], "id string, quote string")
+    got = {tuple(r) for r in containment.whole_in(t, spark.createDataFrame(texts, "id string, text string")).collect()}
+    assert got == {(q, i) for q in quotes for i, x in texts if q and q.strip() and x and q in x}
+    assert containment.whole_in(t.limit(0), spark.createDataFrame(texts, "id string, text string")).count() == 0
+
+
 def test_labels_in_any_section(spark, duck):
     source = {c["claim_id"]: c["source_id"] for c in records(duck, "source_claims", "claim_id")}
     texts = [(s["source_id"], (s["text"] or "").lower()) for s in records(duck, "source_sections", "section_id")]
