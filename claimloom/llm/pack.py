@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.durable import written
 
 #: Items of a shard on average, islands of a shard, packings of an island, times that islands evolve, generations of each time at most, and without gain.
-SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS, PATIENCE = 2000, 2, 4, 3, 30, 4
+SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS, PATIENCE = 2000, 2, 4, 3, 30, 3
 #: Rounds of an exchange, loose items that are tried in twos, and the share of containers with room that mutation empties.
 ROUNDS, PAIRED, EMPTIED = 3, 100, 0.1
 
@@ -91,9 +91,9 @@ def exchange(loose: list[int], sizes: list[int], packing: Packing, rng: np.rando
         k = np.searchsorted(sums, base + room, "right") - 1
         gain = np.where(k >= 0, sums[np.maximum(k, 0)] - base, 0)
         changed, gone = set(), set()
-        for c in np.argsort(gain / np.maximum(room, 1) - rng.random(len(gain)) * 1e-6, kind="stable")[::-1].tolist():
-            if gain[c] <= 0:
-                break
+        best = np.argsort(rng.random(len(gain)) * 1e-6 - gain / np.maximum(room, 1), kind="stable")
+        best = best[np.sort(np.unique(at[best], return_index=True)[1])]  # the best of each container, in their order
+        for c in best[gain[best] > 0].tolist():
             b, into = int(at[c]), {int(one[k[c]]), int(two[k[c]])} - {len(sizes)}
             if b in changed or into & gone:
                 continue
