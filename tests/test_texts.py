@@ -92,15 +92,16 @@ def test_numbering_of_a_large_group(spark):
     assert len(got) == len(rows) and all(r.n == (r.o + 1 if r.g in ("hot", None) else 1) for r in got)
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     df = spark.createDataFrame([("1", "graphene oxide film"), ("2", "graphene ink"), ("3", "溶解度 test Café"), ("4", None)], "id string, t string")
-    index = search.indexed(df, "id", ["t"])
-    found = lambda q: [r.record_id for r in search.bm25(index, q).collect()]
+    write = lambda rows, name: search.write_index(search.indexed(rows, "id", ["t"]), f"{tmp_path}/{name}")
+    index = write(df, "index")
+    found = lambda q: [r.record_id for r in search.bm25(spark, index, q).collect()]
     assert found("graphene") == ["2", "1"] and found("Graphene AND oxide") == ["1"] and found("graph") == [] and found("溶解") == [] and found("溶解度") == ["3"] and found("cafe") == ["3"]
     for q in ("", " AND ", "+-*"):
         with pytest.raises(ValueError):
-            search.bm25(index, q)
-    assert search.bm25(index.limit(0), "x").count() == 0
+            search.bm25(spark, index, q)
+    assert search.bm25(spark, write(df.limit(0), "empty"), "x").count() == 0
 
 
 def test_containment_against_all_pairs(spark):
