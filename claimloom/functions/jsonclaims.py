@@ -11,9 +11,10 @@ from claimloom.operators.validation import CLAIM_TYPES, REQUIRED
 
 def without_fence(x: Column) -> Column:
     """The inside of a Markdown code fence around the whole text, else the text; both stripped."""
-    x = strip(x)
-    inner = F.regexp_extract(x, r"(?s)\A```(?:json)?\s*\n?(.*?)\n?```\z", 1)
-    return F.when(x.rlike(r"(?s)\A```(?:json)?\s*\n?.*?\n?```\z"), strip(inner)).otherwise(x)
+    x, fence = strip(x), F.lit("```")
+    inner = F.substring(x, F.lit(4), F.length(x) - 6)
+    inner = F.when(F.startswith(inner, F.lit("json")), F.substring(inner, F.lit(5), F.length(inner))).otherwise(inner)
+    return F.when(F.startswith(x, fence) & F.endswith(x, fence) & (F.length(x) >= 6), strip(inner)).otherwise(x)
 
 
 def closed(x: Column) -> Column:
