@@ -15,6 +15,8 @@ from claimloom.functions.text import words
 
 #: Characters of the pieces on which words and tokens are joined, but for shorter words; pieces of a word that are weighed; records of a block that are compared with one another.
 PIECE, WEIGHED, TARGETS, CANDIDATES = 3, 8, 20_000, 1_000
+#: Targets and candidates of a block in which the least is looked for; candidates up to which a word is kept as their list.
+ASKED, BITS, FEW = 50_000, 65_536, 256
 
 
 def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
@@ -136,27 +138,110 @@ def whole_in(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.join(candidates, "id").where(F.contains("text", F.col("quote"))).select("target_id", F.col("id").alias("candidate_id"))
 
 
-def covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``target_id, candidate_id``: the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
+def least_covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``target_id, candidate_id``: the least id of the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
 
-    ``targets`` has ``id, quote, words, need, whole``; repeats of a word count each time, and where ``whole``
-    is true the text must hold the quote itself. Targets without words match nothing.
+    ``targets`` has ``id, words, need``; repeats of a word count each time. Targets without words match nothing.
+    Both are read twice.
 
-    A candidate may miss some words only. Of one pair of words more than that it holds both of one pair, so
-    a target's rarest words are joined on, each with a more frequent partner that the candidate's text
-    must hold too, and only then is the rest counted. A candidate's text is repeated for each of its words
-    that are joined on: candidates are meant to be quotes, not whole documents.
+    Blocks of targets meet blocks of candidates in the order of their ids. What a candidate holds is a bit
+    for each of the words that many of a block hold, so that a target's words are counted for 64 candidates
+    at a time, once for all targets that share these words; words that few hold are counted by their lists.
     """
-    listed = targets.select(F.col("id").alias("target_id"), F.explode("words").alias("word"))
-    held = written(holding(listed.select("word").distinct(), candidates), "held")
-    often = held.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = listed.join(often.hint("merge"), "word", "left").groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word")))).alias("o"))
-    spare = (F.size("words") - F.col("need")).cast("int")  # as many words may be missing
-    rows = ordered.join(targets.withColumnRenamed("id", "target_id"), "target_id").where(spare >= 0)
-    group = F.transform(F.slice("o", F.lit(1), spare + 1), lambda x, i: F.struct(x["n"].alias("n"), x["word"].alias("word"), F.coalesce(F.get("o", 2 * spare + 1 - i)["word"], x["word"]).alias("partner")))
-    asked = rows.select("target_id", "quote", "words", "need", "whole", F.explode(group).alias("g")).where("g.n > 0").select("target_id", "quote", "words", "need", "whole", "g.word", "g.partner")
-    asked = written(asked, "asked")
-    postings = held.join(asked.select("word").distinct(), "word", "left_semi").join(candidates, "id").select(F.col("id").alias("candidate_id"), "word", "text").withColumnRenamed("word", "_word")
-    enough = F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))) >= F.col("need")
-    meets = (F.col("word") == F.col("_word")) & F.contains("text", "partner") & enough & (~F.col("whole") | F.contains("text", F.col("quote")))
-    return asked.join(postings.hint("merge"), meets).select("target_id", "candidate_id").distinct()
+    held = holding(targets.select(F.explode("words").alias("word")).distinct(), candidates).where("id IS NOT NULL").groupBy("id").agg(F.collect_list("word").alias("words"))
+    held = written(held, "held")
+    n = targets.count()
+    columns = max(1, math.ceil(held.count() / BITS))
+    rows = max(1, math.ceil(n / ASKED), min(math.ceil(4 * targets.sparkSession.sparkContext.defaultParallelism / columns), math.ceil(n / 2_000)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.where(F.size("words") > 0).select("id", "words", F.col("need").cast("int").alias("need"), block(rows).alias("r"), every(columns).alias("c"))
+    right = held.select("id", "words", block(columns).alias("c"), every(rows).alias("r"))
+    kinds = [df.schema["id"].dataType.simpleString() for df in (targets, held)]
+
+    def least(t: pa.Table, c: pa.Table) -> pa.Table:
+        at, first = [], []
+        if t.num_rows and c.num_rows:
+            t, c = t.combine_chunks(), c.take(pc.sort_indices(c.column("id"))).combine_chunks()
+            asked, has = (x.column("words").combine_chunks() for x in (t, c))
+            known = pc.unique(asked.flatten())
+            word = pc.index_in(has.flatten(), known)
+            there = pc.is_valid(word).to_numpy(zero_copy_only=False)
+            word, who = pc.drop_null(word).to_numpy(zero_copy_only=False), pc.list_parent_indices(has).to_numpy()[there]
+            some = _Postings(word, who, len(known), c.num_rows)
+            words = pc.index_in(asked.flatten(), known).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+            for i, (end, need) in enumerate(zip(ends.tolist(), t.column("need").to_pylist())):
+                hit = some.least(words[ends[i - 1] if i else 0 : end], need)
+                if hit < c.num_rows:
+                    at.append(i)
+                    first.append(hit)
+        return pa.table({"target_id": t.column("id").take(pa.array(at, pa.int64())), "candidate_id": c.column("id").take(pa.array(first, pa.int64()))})
+
+    got = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(least, f"target_id {kinds[0]}, candidate_id {kinds[1]}")
+    return got.groupBy("target_id").agg(F.min("candidate_id").alias("candidate_id"))
+
+
+class _Postings:
+    """Which of ``n`` candidates hold which of ``known`` words: ``word`` and ``who`` are pairs of both, ``who`` ascending."""
+
+    def __init__(self, word: np.ndarray, who: np.ndarray, known: int, n: int) -> None:
+        self.n, self.often = n, np.bincount(word, minlength=known)
+        self.starts, self.who = np.concatenate(([0], np.cumsum(self.often))), who[np.argsort(word, kind="stable")]
+        many = np.flatnonzero(self.often > FEW)
+        self.place = np.full(known, -1)
+        self.place[many] = np.arange(len(many))
+        self.bits = np.zeros((len(many), -(-n // 64)), "<u8")
+        row = np.zeros(self.bits.shape[1] * 64, bool)
+        for i, w in enumerate(many):
+            row[:] = False
+            row[self.of(w)] = True
+            self.bits[i] = np.packbits(row, bitorder="little").view("<u8")
+        self.done: dict[tuple[bytes, int], int] = {}
+
+    def of(self, w: int) -> np.ndarray:
+        return self.who[self.starts[w] : self.starts[w + 1]]
+
+    def least(self, words: np.ndarray, need: int) -> int:
+        """The least candidate that holds ``need`` of ``words``; ``n`` if there is none."""
+        words = words[self.often[words] > 0]
+        if len(words) < need:
+            return self.n
+        place = self.place[words]
+        many, few = np.sort(place[place >= 0]), words[place < 0]
+        best = self.n
+        if len(many) >= need:
+            key = many.tobytes(), need
+            if key not in self.done:
+                self.done[key] = self._among(many, len(many) - need)
+            best = self.done[key]
+        if len(few):  # candidates that hold one of these at least
+            who, n = np.unique(np.concatenate([self.of(w) for w in few]), return_counts=True)
+            near = (n >= need - len(many)) & (who < best)
+            if near.any():
+                who, n = who[near], n[near]
+                if len(many):
+                    n = n + (self.bits[many[:, None], who >> 6] >> (who & 63).astype("<u8") & np.uint64(1)).sum(0)
+                enough = np.flatnonzero(n >= need)
+                if len(enough):
+                    best = int(who[enough[0]])
+        return best
+
+    def _among(self, many: np.ndarray, spare: int) -> int:
+        """The least candidate that holds all but ``spare`` of these words."""
+        if spare == 0:
+            left = np.bitwise_and.reduce(self.bits[many], axis=0)
+        else:
+            # lacks[j]: candidates that lack j of the words so far at most.
+            lacks = np.full((spare + 1, self.bits.shape[1]), ~np.uint64(0))
+            for b in self.bits[many]:
+                for j in range(spare, 0, -1):
+                    lacks[j] &= b
+                    lacks[j] |= lacks[j - 1]
+                lacks[0] &= b
+            left = lacks[spare]
+        full = np.flatnonzero(left)
+        if not len(full):
+            return self.n
+        x = int(left[full[0]])
+        return min(self.n, int(full[0]) * 64 + (x & -x).bit_length() - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
 from claimloom.functions.text import strip, words
-from claimloom.operators.containment import covering, whole_in
+from claimloom.operators.containment import least_covering, whole_in
 
 #: Hedging words, found as substrings; the least percentages of the gate, and the share of words of a match.
 HEDGES = ("may", "might", "could", "suggest", "potential", "possibly", "likely", "appears", "indicate")
@@ -32,9 +32,14 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     long = F.filter("every", lambda w: F.length(w) > 2)
     whole, n = F.size(long) == 0, F.size(long)
     # A claim that holds the whole quote holds all its words. Both sides are read several times, so they are written.
-    a = written(a.select("id", "quote", whole.alias("whole"), F.when(whole, F.col("every")).otherwise(long).alias("words"), F.when(whole, F.size("every")).otherwise(F.ceil(n * SHARE - 1e-9)).alias("need")), "targets")
+    a = written(a.select("id", "quote", whole.alias("whole"), F.when(~whole, long).otherwise(F.array().cast("array<string>")).alias("words"), F.ceil(n * SHARE - 1e-9).alias("need")), "targets")
     c = written(claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text")), "candidates")
-    return covering(a, c).groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
+    found = least_covering(a.select("id", "words", "need"), c)
+    short = a.where("whole")
+    if not short.isEmpty():
+        once = whole_in(short.select(F.col("quote").alias("id"), "quote").distinct(), c).groupBy(F.col("target_id").alias("quote")).agg(F.min("candidate_id").alias("candidate_id"))
+        found = found.unionByName(short.join(once, "quote").select(F.col("id").alias("target_id"), "candidate_id"))
+    return found.groupBy(F.col("target_id").alias("annotation_id")).agg(F.min("candidate_id").alias("claim_id"))
 
 
 def unsupported(annotations: DataFrame, claims: DataFrame) -> DataFrame:
