@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
-from claimloom.functions.text import words
+from claimloom.functions.text import collapse, words
 
 #: Characters of the pieces on which words and tokens are joined, but for shorter words; pieces of a word that are weighed; records of a block that are compared with one another.
 PIECE, WEIGHED, TARGETS, CANDIDATES = 3, 8, 20_000, 1_000
 #: Targets and candidates of a block in which the least is looked for; candidates up to which a word is kept as their list.
-ASKED, BITS, FEW = 50_000, 65_536, 256
+ASKED, BITS, FEW = 100_000, 65_536, 256
 
 
 def containing(targets: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
@@ -52,8 +52,8 @@ def substrings(wanted: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = (),
     """
     most = max(least, PIECE)
     # Any piece of a word will do: of long words some are weighed, evenly spaced.
-    own = _pieces("word", most)
-    some = F.filter(own, lambda p, i: i % F.ceil(F.size(own) / WEIGHED) == 0)
+    step = F.ceil(F.greatest(F.length("word") - most + 1, F.lit(1)) / WEIGHED)
+    some = F.filter(_pieces("word", most), lambda p, i: i % step == 0)
     listed = wanted.select(*keys, "word", F.explode(F.when(F.length("word") < most, F.array("word")).otherwise(F.array_distinct(some))).alias("piece"))
     listed = written(listed, "pieces")
     sizes = [r[0] for r in listed.select(F.length("piece")).distinct().collect()]  # as many as ``most`` at the most
@@ -141,45 +141,60 @@ def whole_in(targets: DataFrame, candidates: DataFrame) -> DataFrame:
 def least_covering(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """``target_id, candidate_id``: the least id of the candidates (``id, text``) that hold at least ``need`` of the target's words as substrings.
 
-    ``targets`` has ``id, words, need``; repeats of a word count each time. Targets without words match nothing.
-    Both are read twice.
+    ``targets`` has ``id, words, need`` and is read several times; repeats of a word count each time, and
+    words are without white space. Targets without words match nothing.
 
     Blocks of targets meet blocks of candidates in the order of their ids. What a candidate holds is a bit
     for each of the words that many of a block hold, so that a target's words are counted for 64 candidates
     at a time, once for all targets that share these words; words that few hold are counted by their lists.
+    Only targets that find nothing in the block of the least ids meet the other blocks.
     """
-    held = holding(targets.select(F.explode("words").alias("word")).distinct(), candidates).where("id IS NOT NULL").groupBy("id").agg(F.collect_list("word").alias("words"))
-    held = written(held, "held")
-    n = targets.count()
-    columns = max(1, math.ceil(held.count() / BITS))
-    rows = max(1, math.ceil(n / ASKED), min(math.ceil(4 * targets.sparkSession.sparkContext.defaultParallelism / columns), math.ceil(n / 2_000)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    # Numbers in the order of the ids stand for them, as they are shorter.
+    c = written(candidates.where("id IS NOT NULL").orderBy("id").select("id", F.array_distinct(F.split(collapse("text"), " ")).alias("tokens"), F.monotonically_increasing_id().alias("no")), "numbered")
+    listed = c.select("no", F.explode("tokens").alias("token")).where("token <> ''")
+    found = substrings(targets.select(F.explode("words").alias("word")).distinct(), listed.select("token").distinct())
+    each = found.groupBy("token").agg(F.collect_list("word").alias("words")).join(listed.hint("merge"), "token").groupBy("no")
+    held = written(each.agg(F.array_join(F.array_distinct(F.flatten(F.collect_list("words"))), " ").alias("words")), "held")
+    asked = targets.where(F.size("words") > 0).select("id", F.array_join("words", " ").alias("words"), F.col("need").cast("int").alias("need"))
+    blocks, n = math.ceil(held.count() / BITS), targets.count()
+    if blocks > 1:
+        last = held.select("no").orderBy("no").limit(BITS).agg(F.max("no")).first()[0]
+        first = written(_least(asked, held.where(F.col("no") <= last), n, 1), "first")
+        rest = asked.join(first.select(F.col("target_id").alias("id")), "id", "left_anti")
+        got = first.unionByName(_least(rest, held.where(F.col("no") > last), n - first.count(), blocks - 1))
+    else:
+        got = _least(asked, held, n, 1)
+    return got.groupBy("target_id").agg(F.min("no").alias("no")).join(c.select("no", F.col("id").alias("candidate_id")), "no").select("target_id", "candidate_id")
+
+
+def _least(targets: DataFrame, held: DataFrame, n: int, columns: int) -> DataFrame:
+    """``target_id, no``: the least ``no`` of each of so many blocks of ``held`` (``no, words``) that has ``need`` of the words of a target (``id, words, need``); about ``n`` targets."""
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, math.ceil(n / ASKED), min(math.ceil(2 * cores / columns), math.ceil(n / 2_000)))
+    block = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = targets.where(F.size("words") > 0).select("id", "words", F.col("need").cast("int").alias("need"), block(rows).alias("r"), every(columns).alias("c"))
-    right = held.select("id", "words", block(columns).alias("c"), every(rows).alias("r"))
-    kinds = [df.schema["id"].dataType.simpleString() for df in (targets, held)]
+    left = targets.select("*", block("id", rows).alias("r"), every(columns).alias("c"))
+    right = held.select("*", block("no", columns).alias("c"), every(rows).alias("r"))
 
     def least(t: pa.Table, c: pa.Table) -> pa.Table:
         at, first = [], []
         if t.num_rows and c.num_rows:
-            t, c = t.combine_chunks(), c.take(pc.sort_indices(c.column("id"))).combine_chunks()
-            asked, has = (x.column("words").combine_chunks() for x in (t, c))
+            t, c = t.combine_chunks(), c.sort_by("no").combine_chunks()
+            asked, has = (pc.split_pattern(x.column("words").combine_chunks(), " ") for x in (t, c))
             known = pc.unique(asked.flatten())
             word = pc.index_in(has.flatten(), known)
             there = pc.is_valid(word).to_numpy(zero_copy_only=False)
-            word, who = pc.drop_null(word).to_numpy(zero_copy_only=False), pc.list_parent_indices(has).to_numpy()[there]
-            some = _Postings(word, who, len(known), c.num_rows)
-            words = pc.index_in(asked.flatten(), known).to_numpy(zero_copy_only=False)
+            some = _Postings(pc.drop_null(word).to_numpy(zero_copy_only=False), pc.list_parent_indices(has).to_numpy()[there], len(known), c.num_rows)
+            word = pc.index_in(asked.flatten(), known).to_numpy(zero_copy_only=False)
             ends = np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))
             for i, (end, need) in enumerate(zip(ends.tolist(), t.column("need").to_pylist())):
-                hit = some.least(words[ends[i - 1] if i else 0 : end], need)
+                hit = some.least(word[ends[i - 1] if i else 0 : end], need)
                 if hit < c.num_rows:
                     at.append(i)
                     first.append(hit)
-        return pa.table({"target_id": t.column("id").take(pa.array(at, pa.int64())), "candidate_id": c.column("id").take(pa.array(first, pa.int64()))})
+        return pa.table({"target_id": t.column("id").take(pa.array(at, pa.int64())), "no": c.column("no").take(pa.array(first, pa.int64()))})
 
-    got = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(least, f"target_id {kinds[0]}, candidate_id {kinds[1]}")
-    return got.groupBy("target_id").agg(F.min("candidate_id").alias("candidate_id"))
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(least, f"target_id {targets.schema['id'].dataType.simpleString()}, no bigint")
 
 
 class _Postings:

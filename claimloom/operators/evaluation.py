@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
-from claimloom.functions.text import strip, words
+from claimloom.functions.text import collapse, strip
 from claimloom.operators.containment import least_covering, whole_in
 
 #: Hedging words, found as substrings; the least percentages of the gate, and the share of words of a match.
@@ -28,14 +28,13 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     Words have more than two characters, stand anywhere in the claim's quote and count each time; case
     does not matter. Quotes without such words are only looked for as a whole. Both inputs have ``source_quote``.
     """
-    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''").withColumn("every", words("quote"))
-    long = F.filter("every", lambda w: F.length(w) > 2)
-    whole, n = F.size(long) == 0, F.size(long)
-    # A claim that holds the whole quote holds all its words. Both sides are read several times, so they are written.
-    a = written(a.select("id", "quote", whole.alias("whole"), F.when(~whole, long).otherwise(F.array().cast("array<string>")).alias("words"), F.ceil(n * SHARE - 1e-9).alias("need")), "targets")
-    c = written(claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text")), "candidates")
+    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''")
+    a = a.withColumn("words", F.filter(F.split(collapse("quote"), " "), lambda w: F.length(w) > 2))
+    # A claim that holds the whole quote holds all its words.
+    a = written(a.withColumn("need", F.ceil(F.size("words") * SHARE - 1e-9)), "targets")
+    c = claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text"))
     found = least_covering(a.select("id", "words", "need"), c)
-    short = a.where("whole")
+    short = a.where(F.size("words") == 0)
     if not short.isEmpty():
         once = whole_in(short.select(F.col("quote").alias("id"), "quote").distinct(), c).groupBy(F.col("target_id").alias("quote")).agg(F.min("candidate_id").alias("candidate_id"))
         found = found.unionByName(short.join(once, "quote").select(F.col("id").alias("target_id"), "candidate_id"))
@@ -46,7 +45,7 @@ def unsupported(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     """``claim_id`` of claims whose stripped quote is no positive annotation's and holds no negative one's; blank quotes are skipped."""
     quote = strip("source_quote")
     c = claims.select("claim_id", quote.alias("quote")).where("quote <> ''")
-    left = c.join(annotations.where("must_extract").select(quote.alias("quote")).distinct(), "quote", "left_anti")
+    left = written(c.join(annotations.where("must_extract").select(quote.alias("quote")).distinct(), "quote", "left_anti"), "left")
     n = annotations.where("NOT must_extract").select(quote.alias("quote")).where("quote <> ''").distinct()
     holds = whole_in(n.select(F.col("quote").alias("id"), "quote"), left.select(F.col("claim_id").alias("id"), F.col("quote").alias("text"))).select(F.col("candidate_id").alias("claim_id"))
     return left.join(holds, "claim_id", "left_anti").select("claim_id")
@@ -59,17 +58,19 @@ def percent(part: Column, whole: Column) -> Column:
 
 def metrics(annotations: DataFrame, claims: DataFrame, matches: DataFrame) -> DataFrame:
     """One row of counts: what was expected and what was met, per property."""
-    c = claims.select("claim_id", F.col("source_quote").alias("cq"), F.col("claim_type").alias("ct"), F.col("page").alias("cp"), F.col("author_hedging").alias("ch"), F.col("faithful_paraphrase").alias("cf"), F.col("scope_description").alias("cs"))
-    rows = annotations.join(matches, "annotation_id", "left").join(c, "claim_id", "left")
     some = lambda x: F.coalesce(F.col(x), F.lit("")) != ""
+    # Of the texts only what is asked about them goes through the joins.
+    c = claims.select("claim_id", (strip(F.coalesce("source_quote", F.lit(""))) != "").alias("cq"), F.col("claim_type").alias("ct"), F.col("page").isNotNull().alias("cp"), (some("author_hedging") | has_hedging(F.col("faithful_paraphrase"))).alias("ch"), some("scope_description").alias("cs"))
+    a = annotations.select("annotation_id", "must_extract", "claim_type", *(some(x).alias(x) for x in ("source_quote", "author_hedging", "scope_description")))
+    rows = a.join(matches, "annotation_id", "left").join(c, "claim_id", "left")
     pos, hit = F.col("must_extract"), F.col("claim_id").isNotNull()
     n = lambda x: F.count_if(x)
     return rows.agg(
         n(pos).alias("positives"), n(~pos).alias("negatives"), n(pos & hit).alias("recall_n"), n(~pos & hit).alias("negative_n"),
-        n(pos & some("source_quote")).alias("quote_d"), n(pos & hit & (strip(F.coalesce("cq", F.lit(""))) != "")).alias("quote_n"),
-        n(pos & hit & F.col("cp").isNotNull()).alias("locator_n"), n(pos & some("claim_type")).alias("type_d"), n(pos & hit & (F.col("ct") == F.col("claim_type"))).alias("type_n"),
-        n(pos & some("author_hedging")).alias("hedging_d"), n(pos & hit & some("author_hedging") & (some("ch") | has_hedging(F.col("cf")))).alias("hedging_n"),
-        n(pos & some("scope_description")).alias("scope_d"), n(pos & hit & some("scope_description") & some("cs")).alias("scope_n"),
+        n(pos & F.col("source_quote")).alias("quote_d"), n(pos & hit & F.col("cq")).alias("quote_n"),
+        n(pos & hit & F.col("cp")).alias("locator_n"), n(pos & some("claim_type")).alias("type_d"), n(pos & hit & (F.col("ct") == F.col("claim_type"))).alias("type_n"),
+        n(pos & F.col("author_hedging")).alias("hedging_d"), n(pos & hit & F.col("author_hedging") & F.col("ch")).alias("hedging_n"),
+        n(pos & F.col("scope_description")).alias("scope_d"), n(pos & hit & F.col("scope_description") & F.col("cs")).alias("scope_n"),
     )
 
 

@@ -55,3 +55,20 @@ def test_many_with_the_same_words(spark):
     got = evaluation.best_matches(a, c).collect()
     assert {tuple(r) for r in got} == {(f"a{i:05}", f"c{i:05}") for i in range(0, n, 100)}
     assert time.monotonic() - began < 60
+
+
+def many(spark, n):
+    """Annotations and claims with the columns of an evaluation; all pairs share many words, each hundredth annotation has its claim."""
+    rng = random.Random(2)
+    a = [(f"a{i:05}", f"{' '.join(POOL)} no{i:05}", "t", "may", None, i % 200 == 0) for i in range(n)]
+    c = [(f"c{i:05}", " ".join(rng.sample(POOL, 7)) + (f" no{i:05}" if i % 100 == 0 else ""), "t", 1, None, "it may be" if i % 400 == 0 else "is", None) for i in range(n)]
+    same = "claim_type string, {}author_hedging string, {}scope_description string"
+    return spark.createDataFrame(a, f"annotation_id string, source_quote string, {same.format('', '')}, must_extract boolean"), spark.createDataFrame(c, f"claim_id string, source_quote string, {same.format('page int, ', 'faithful_paraphrase string, ')}")
+
+
+def test_metrics_of_many(spark):
+    a, c = many(spark, 12_000)
+    began = time.monotonic()
+    got = evaluation.metrics(a, c, evaluation.best_matches(a, c)).first().asDict()
+    assert time.monotonic() - began < 60
+    assert got == dict(positives=60, negatives=11_940, recall_n=60, negative_n=60, quote_d=60, quote_n=60, locator_n=60, type_d=60, type_n=60, hedging_d=60, hedging_n=30, scope_d=0, scope_n=0)
