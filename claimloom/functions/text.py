@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 
 #: The white space code points, as a regular expression class valid in Java and RE2.
 WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one.
+_SPACES = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: The dashes that fold to the ASCII hyphen.
 DASHES = "‐‑‒–—―"
 
@@ -30,6 +32,12 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(col(x), f"^{WS}+|{WS}+$", "")
 
 
+def trimmed(x: Column | str) -> Column:
+    """As :func:`strip`; the regular expression runs only on texts that begin or end with white space, which makes it many times faster over others."""
+    x = col(x)
+    return F.when(F.substring(x, 1, 1).isin(*_SPACES) | F.substring(x, -1, 1).isin(*_SPACES), strip(x)).otherwise(x)
+
+
 def collapse(x: Column | str) -> Column:
     """Every run of white space becomes one blank."""
     return F.regexp_replace(col(x), f"{WS}+", " ")

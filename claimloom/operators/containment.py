@@ -125,7 +125,7 @@ def whole_in(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     word of the text. Quotes that are blank or NULL match nothing.
     """
     w = targets.select(F.col("id").alias("target_id"), "quote", words("quote").alias("w")).where(F.size("w") > 0)
-    listed = written(candidates.select("id", F.explode(F.array_distinct(words("text"))).alias("word")), "listed")
+    listed = written(candidates.select("id", F.explode(F.array_distinct(F.split(collapse("text"), " "))).alias("word")).where("word <> ''"), "listed")
     often = listed.groupBy("word").agg(F.count("*").alias("n"))
     least = F.array_min(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))))
     inner = w.where(F.size("w") > 2).select("target_id", "quote", F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("word"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.durable import written
-from claimloom.functions.text import collapse, strip
+from claimloom.functions.text import collapse, trimmed
 from claimloom.operators.containment import least_covering, whole_in
 
 #: Hedging words, found as substrings; the least percentages of the gate, and the share of words of a match.
@@ -28,11 +28,11 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     Words have more than two characters, stand anywhere in the claim's quote and count each time; case
     does not matter. Quotes without such words are only looked for as a whole. Both inputs have ``source_quote``.
     """
-    a = annotations.select(F.col("annotation_id").alias("id"), strip(F.lower("source_quote")).alias("quote")).where("quote <> ''")
+    a = annotations.select(F.col("annotation_id").alias("id"), trimmed(F.lower("source_quote")).alias("quote")).where("quote <> ''")
     a = a.withColumn("words", F.filter(F.split(collapse("quote"), " "), lambda w: F.length(w) > 2))
     # A claim that holds the whole quote holds all its words.
     a = written(a.withColumn("need", F.ceil(F.size("words") * SHARE - 1e-9)), "targets")
-    c = claims.select(F.col("claim_id").alias("id"), strip(F.lower("source_quote")).alias("text"))
+    c = claims.select(F.col("claim_id").alias("id"), trimmed(F.lower("source_quote")).alias("text"))
     found = least_covering(a.select("id", "words", "need"), c)
     short = a.where(F.size("words") == 0)
     if not short.isEmpty():
@@ -43,12 +43,13 @@ def best_matches(annotations: DataFrame, claims: DataFrame) -> DataFrame:
 
 def unsupported(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     """``claim_id`` of claims whose stripped quote is no positive annotation's and holds no negative one's; blank quotes are skipped."""
-    quote = strip("source_quote")
-    c = claims.select("claim_id", quote.alias("quote")).where("quote <> ''")
-    left = written(c.join(annotations.where("must_extract").select(quote.alias("quote")).distinct(), "quote", "left_anti"), "left")
-    n = annotations.where("NOT must_extract").select(quote.alias("quote")).where("quote <> ''").distinct()
-    holds = whole_in(n.select(F.col("quote").alias("id"), "quote"), left.select(F.col("claim_id").alias("id"), F.col("quote").alias("text"))).select(F.col("candidate_id").alias("claim_id"))
-    return left.join(holds, "claim_id", "left_anti").select("claim_id")
+    # Numbers stand for ids and quotes in what is exploded into words.
+    quote, no = trimmed("source_quote").alias("quote"), F.monotonically_increasing_id().alias("no")
+    a = written(annotations.select("must_extract", quote).where("quote <> ''").distinct().select("*", no), "quotes")
+    left = claims.select("claim_id", quote).where("quote <> ''").join(a.where("must_extract").select("quote"), "quote", "left_anti")
+    left = written(left.select("claim_id", "quote", no), "left")
+    holds = whole_in(a.where("NOT must_extract").select(F.col("no").alias("id"), "quote"), left.select(F.col("no").alias("id"), F.col("quote").alias("text")))
+    return left.join(holds.select(F.col("candidate_id").alias("no")), "no", "left_anti").select("claim_id")
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -60,7 +61,7 @@ def metrics(annotations: DataFrame, claims: DataFrame, matches: DataFrame) -> Da
     """One row of counts: what was expected and what was met, per property."""
     some = lambda x: F.coalesce(F.col(x), F.lit("")) != ""
     # Of the texts only what is asked about them goes through the joins.
-    c = claims.select("claim_id", (strip(F.coalesce("source_quote", F.lit(""))) != "").alias("cq"), F.col("claim_type").alias("ct"), F.col("page").isNotNull().alias("cp"), (some("author_hedging") | has_hedging(F.col("faithful_paraphrase"))).alias("ch"), some("scope_description").alias("cs"))
+    c = claims.select("claim_id", (trimmed(F.coalesce("source_quote", F.lit(""))) != "").alias("cq"), F.col("claim_type").alias("ct"), F.col("page").isNotNull().alias("cp"), (some("author_hedging") | has_hedging(F.col("faithful_paraphrase"))).alias("ch"), some("scope_description").alias("cs"))
     a = annotations.select("annotation_id", "must_extract", "claim_type", *(some(x).alias(x) for x in ("source_quote", "author_hedging", "scope_description")))
     rows = a.join(matches, "annotation_id", "left").join(c, "claim_id", "left")
     pos, hit = F.col("must_extract"), F.col("claim_id").isNotNull()

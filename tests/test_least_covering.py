@@ -72,3 +72,24 @@ def test_metrics_of_many(spark):
     got = evaluation.metrics(a, c, evaluation.best_matches(a, c)).first().asDict()
     assert time.monotonic() - began < 60
     assert got == dict(positives=60, negatives=11_940, recall_n=60, negative_n=60, quote_d=60, quote_n=60, locator_n=60, type_d=60, type_n=60, hedging_d=60, hedging_n=30, scope_d=0, scope_n=0)
+
+
+def test_trimmed_is_strip(spark):
+    from pyspark.sql import functions as F
+
+    from claimloom.functions import text
+
+    texts = [None, "", " ", "a", " a b\t", "　a", "a ", "\x1c\x85", "​a", "é ", "采 用"] + [chr(c) + "x" + chr(d) for c, d in ((0x1680, 0x61), (0x62, 0x205F), (0x0E, 0x21), (0xA0, 0x2000), (0x200A, 0x202F), (0x180E, 0xFEFF))]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert df.where(~text.trimmed("x").eqNullSafe(text.strip("x"))).count() == 0
+    assert df.select(F.count_if(text.strip("x") != F.col("x"))).first()[0] == 10
+
+
+def test_gate_of_many(spark):
+    a, c = many(spark, 12_000)
+    began = time.monotonic()
+    left = evaluation.unsupported(a, c)
+    counts = evaluation.metrics(a, c, evaluation.best_matches(a, c))
+    got = {r.metric: (r.value, r.passed) for r in evaluation.gate(counts, left.selectExpr("count(*) AS n")).collect()}
+    assert time.monotonic() - began < 60
+    assert got["unsupported_accepted"] == (12_000.0, False) and got["recall"] == (100.0, True) and got["hedging_preservation"] == (50.0, False) and got["negative_extraction"] == (0.5, False)
